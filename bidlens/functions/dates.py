@@ -8,23 +8,19 @@ from pyspark.sql import Column, functions as F
 
 from bidlens.functions.text import SPACE, strip
 
-DAY_FIRST = rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})(?:[{SPACE}]+(\d{{1,2}}):(\d{{1,2}}))?$"
-NO_TIME = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$"
+WITH_TIME = r"^\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{1,2}$"
+DAY_ONLY = r"^\d{1,2}\.\d{1,2}\.\d{4}$"
 FEATURES = ["timestamp", "day_of_week", "month", "quarter", "year", "days_from_reference"]
 
 
-def _stamp(c: Column, pattern: str = DAY_FIRST) -> Column:
-    def part(i: int) -> Column:
-        return F.regexp_extract(c, pattern, i).try_cast("int")
-
-    hour, minute = (part(4), part(5)) if pattern is DAY_FIRST else (F.lit(None), F.lit(None))
-    zero = F.lit(0)
-    return F.when(
-        c.rlike(pattern) & (part(3) > 0),
-        F.try_make_timestamp(
-            part(3), part(2), part(1), F.coalesce(hour, zero), F.coalesce(minute, zero), zero.cast("decimal(16,6)")
-        ),
-    )
+def _stamp(c: Column, day_only: bool = False) -> Column:
+    """Timestamp of a text in exactly one of the two forms, null for days that do not exist."""
+    day = F.when(c.rlike(DAY_ONLY), F.try_to_timestamp(c, F.lit("d.M.yyyy")))
+    if day_only:
+        return day
+    # Runs of white space between date and time count as one.
+    single = F.regexp_replace(c, f"[{SPACE}]+", " ")
+    return F.coalesce(F.when(single.rlike(WITH_TIME), F.try_to_timestamp(single, F.lit("d.M.yyyy H:m"))), day)
 
 
 def parse_date(c: Column) -> Column:
@@ -41,7 +37,7 @@ def parse_datetime(c: Column) -> Column:
 def parse_day(c: Column) -> Column:
     """Date part of the first word."""
     first = F.when(F.contains(c, F.lit(" ")), F.get(F.split(strip(c), f"[{SPACE}]+"), F.lit(0))).otherwise(c)
-    return F.to_date(_stamp(first, NO_TIME))
+    return F.to_date(_stamp(first, day_only=True))
 
 
 def seconds(ts: Column) -> Column:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from bidlens.functions.text import SPACE
+from bidlens.functions.text import squeeze
 
 STRICT_NUMBER = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
 FIRST_NUMBER = r"[-+]?\d*[.,]?\d+"
 
 
 def _squeezed(c: Column) -> Column:
-    return F.replace(F.regexp_replace(c, f"[{SPACE}]", ""), F.lit(","), F.lit("."))
+    return F.translate(squeeze(c), ",", ".")
 
 
 def parse_number(c: Column) -> Column:
@@ -24,7 +24,7 @@ def parse_number(c: Column) -> Column:
 
 def parse_price(c: Column) -> Column:
     """Typed price: exact decimal, null when the text is not a plain number."""
-    s = F.replace(F.replace(c, F.lit(" "), F.lit("")), F.lit(","), F.lit("."))
+    s = F.translate(c, ", ", ".")
     return F.when(s.rlike(STRICT_NUMBER), s.try_cast("decimal(15,2)"))
 
 

@@ -10,10 +10,19 @@ from bidlens.schema import PII_NAME_PARTS, STOP_WORDS
 # depend on the regex engine's Unicode switches.
 SPACE = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
+# The same characters as a list, for functions that need no regex.
+SPACES = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(c, F.lit(SPACES))
+
+
+def squeeze(c: Column) -> Column:
+    """Without any white space."""
+    return F.translate(c, SPACES, "")
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -37,7 +46,12 @@ def clean_text(
 
 def words_of(c: Column) -> Column:
     """Non-empty runs between spaces."""
-    return F.filter(F.split(c, f"[{SPACE}]+"), lambda w: w != "")
+    return F.array_remove(F.split(c, f"[{SPACE}]+"), "")
+
+
+def clean_words(c: Column) -> Column:
+    """Words of a text that ``clean_text`` has been through: single spaces, none outside."""
+    return F.array_remove(F.split(c, " "), "")
 
 
 def clean_phone(c: Column) -> Column:

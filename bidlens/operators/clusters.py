@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bidlens.functions.vectors import doubles, l2_distance
 from bidlens.operators.vectors import knn
-from bidlens.session import materialise, shared_dir
+from bidlens.session import materialise
 
 
 def sizes(rows: DataFrame, label_col: str = "label") -> DataFrame:
@@ -104,28 +104,33 @@ def describe(rows: DataFrame, label_col: str = "label", vec_col: str = "vec", na
     return said.select(label_col, F.when(more > 0, F.concat(head, tail)).otherwise(head).alias("description"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, component): smallest node id that can be reached.
 
-    Each round takes the smallest label among neighbours and then the label of
-    that label, so long chains halve. Rounds are written to the shared folder.
+    A round offers the smallest label around a node to the node and to the node
+    whose label it carries, then follows the label of the label: the number of
+    rounds grows with the logarithm of the longest chain. Offers are reduced per
+    task before they move. Each round is written to the shared folder.
     """
-    shared_dir(nodes.sparkSession)
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(nodes.select("id", F.col("id").alias("component")), "components")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = materialise(both, "edges")
+    labels = nodes.select("id", F.col("id").alias("component"))
     for _ in range(max_rounds):
-        reached = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("_m"))
-        lower = labels.join(reached, F.col("id") == F.col("a"), "left").select(
-            "id", F.col("component").alias("_old"), F.least("component", "_m").alias("component")
+        there = labels.select(F.col("id").alias("b"), F.col("component").alias("_offer"))
+        near = both.join(there, "b").groupBy("a").agg(F.min("_offer").alias("_offer"))
+        offers = labels.join(near, F.col("id") == F.col("a")).select(
+            F.explode(F.array("id", "component")).alias("_to"), "_offer"
+        ).groupBy("_to").agg(F.min("_offer").alias("_offer"))
+        lower = labels.join(offers, F.col("id") == F.col("_to"), "left").select(
+            "id", F.col("component").alias("_old"), F.least("component", "_offer").alias("component")
         )
-        lower = materialise(lower, "components")
-        parent = lower.select(F.col("id").alias("_p"), F.col("component").alias("_pc"))
-        jumped = lower.join(parent, F.col("component") == F.col("_p"), "left").select(
-            "id", "_old", F.least("component", "_pc").alias("component")
+        parent = lower.select(F.col("id").alias("_p"), F.col("component").alias("_up"))
+        stepped = lower.join(parent, F.col("component") == F.col("_p"), "left").select(
+            "id", "_old", F.least("component", "_up").alias("component")
         )
-        step = materialise(jumped, "components")
-        labels = step.select("id", "component")
-        if not step.filter(F.col("_old") != F.col("component")).limit(1).count():
+        stepped = materialise(stepped, "components")
+        labels = stepped.select("id", "component")
+        if stepped.filter(F.col("_old") != F.col("component")).isEmpty():
             return labels
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 

@@ -9,8 +9,8 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from bidlens.functions.kernels import term_counts
-from bidlens.functions.text import words_of
+from bidlens.functions.kernels import square_length
+from bidlens.functions.text import clean_words, words_of
 from bidlens.functions.vectors import doubles
 from bidlens.operators.clusters import hash_number
 from bidlens.operators.stats import exact_quantiles
@@ -22,7 +22,8 @@ def encode_words(df: DataFrame, id_col: str, text: Column) -> DataFrame:
 
     Texts move once, to their id; both aggregations then work in place.
     """
-    words = df.select(id_col, F.explode(words_of(text)).alias("token")).repartition(id_col)
+    held = [id_col, *[c for c in df.columns if c != id_col]]
+    words = df.select(*held).repartition(id_col).select(id_col, F.explode(words_of(text)).alias("token"))
     counts = words.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
     size = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(id_col)))
     return counts.withColumn("weight", F.col("n") / size)
@@ -55,17 +56,15 @@ def composite_embedding(df: DataFrame, id_col: str, weights: Mapping[str, float]
     weights = {n: w for n, w in (weights or EMBEDDING_FIELD_WEIGHTS).items() if n in df.columns}
 
     def field_part(name: str, weight: float) -> tuple[Column, Column]:
-        counts = term_counts(F.coalesce(F.col(name), F.lit("")))
-        size = F.sqrt(F.aggregate(F.map_values(counts), F.lit(0.0), lambda acc, x: acc + x * x))
-        words = F.transform(
-            F.map_entries(counts),
-            lambda e: F.struct(e["key"].alias("token"), (F.try_divide(e["value"], size) * weight).alias("part")),
-        )
-        return words, F.when(F.size(counts) > 0, F.lit(weight)).otherwise(F.lit(0.0))
+        words = clean_words(F.coalesce(F.col(name), F.lit("")))
+        # A word counts once per occurrence, so only the length of the field's vector is needed.
+        share = F.try_divide(F.lit(weight), F.sqrt(square_length(words)))
+        parts = F.arrays_zip(words.alias("token"), F.array_repeat(share, F.size(words)).alias("part"))
+        return parts, F.when(F.size(words) > 0, F.lit(weight)).otherwise(F.lit(0.0))
 
     fields = [field_part(n, float(w)) for n, w in weights.items()]
     parts = [words for words, _ in fields]
-    present = F.aggregate(F.array(*[p for _, p in fields]), F.lit(0.0), lambda acc, x: acc + x)
+    present = sum((p for _, p in fields), F.lit(0.0))
     rows = df.select(id_col, present.alias("_present"), F.inline(F.concat(*parts)))
     return rows.groupBy(id_col, "token").agg((F.sum("part") / F.max("_present")).alias("weight"))
 

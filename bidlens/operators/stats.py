@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -36,18 +37,13 @@ def field_stats(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float]:
-    """Linear-interpolation quantiles of a whole column.
-
-    Histogram passes narrow the value range that holds each rank until few enough
-    values are left; a value repeated without end ends the search as a range of
-    width 0. Null and NaN do not count.
-    """
+    """Linear-interpolation quantiles of a whole column. Null and NaN do not count."""
     values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
     n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
     if not n:
         return [math.nan] * len(probabilities)
-    ranks = sorted({r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-    found = {r: _value_at(values, r, low, high, n) for r in ranks}
+    ranks = {r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
+    found = _values_at(values, ranks, _Range(low, high, 0, n))
     out = []
     for p in probabilities:
         place = p * (n - 1)
@@ -56,29 +52,40 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
     return out
 
 
-def _value_at(values: DataFrame, rank: int, low: float, high: float, n: int) -> float:
-    inside, below = n, 0
-    while True:
-        held = values.filter(F.col("v").between(low, high))
-        if low == high:
-            return low
-        if inside <= FINAL_VALUES:
-            rows = held.groupBy("v").count().orderBy("v").collect()
-            for value, count in rows:
-                below += count
-                if rank < below:
-                    return value
-        width = (high - low) / BUCKETS
-        bucket = F.least(F.floor((F.col("v") - low) / width), F.lit(BUCKETS - 1))
-        counts = (
-            held.groupBy(bucket.alias("b")).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("b").collect()
-        )
-        for row in counts:
-            if rank < below + row["n"]:
-                inside, low, high = row["n"], row["lo"], row["hi"]
-                break
-            below += row["n"]
+@dataclass(frozen=True)
+class _Range:
+    """Values from low to high: how many lie below, how many inside."""
+
+    low: float
+    high: float
+    below: int
+    inside: int
+
+
+def _values_at(values: DataFrame, ranks: set[int], span: _Range) -> dict[int, float]:
+    """Order statistics: histogram passes narrow the ranges that hold the ranks.
+
+    All ranks of a range share its pass. A range with few values is counted value
+    by value; one value repeated without end is a range of width 0.
+    """
+    if span.low == span.high:
+        return dict.fromkeys(ranks, span.low)
+    held = values.filter(F.col("v").between(span.low, span.high))
+    if span.inside <= FINAL_VALUES:
+        rows = [(r["v"], r["v"], r["n"]) for r in held.groupBy("v").agg(F.count("v").alias("n")).orderBy("v").collect()]
+    else:
+        width = (span.high - span.low) / BUCKETS
+        bucket = F.least(F.floor((F.col("v") - span.low) / width), F.lit(BUCKETS - 1))
+        counts = held.groupBy(bucket.alias("b")).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        rows = [(r["lo"], r["hi"], r["n"]) for r in counts.orderBy("b").collect()]
+    found: dict[int, float] = {}
+    below = span.below
+    for low, high, n in rows:
+        here = {r for r in ranks if below <= r < below + n}
+        if here:
+            found.update(_values_at(values, here, _Range(low, high, below, n)))
+        below += n
+    return found
 
 
 def distributed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hits: Column | None = None) -> DataFrame:

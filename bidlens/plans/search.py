@@ -14,7 +14,8 @@ from bidlens.operators import clusters, index, metric, pairs, price
 from bidlens.operators.catalog import apply_filters, post_filter
 from bidlens.operators.composite import Groups, composite_topk, with_breakdown
 from bidlens.operators.features import pca_reduce
-from bidlens.operators.vectors import assign_outliers, project, vector_topk
+from bidlens.operators.stats import exact_quantiles
+from bidlens.operators.vectors import assign_outliers, knn, project, vector_topk
 from bidlens.session import materialise, scratch_path
 
 
@@ -119,8 +120,5 @@ def train(
 
 def typical_reach(rows: DataFrame, min_samples: int) -> float:
     """Median core distance: half of all rows count as dense."""
-    from bidlens.operators.stats import exact_quantiles
-    from bidlens.operators.vectors import knn
-
     graph = materialise(knn(rows, min_samples).filter(F.col("rank") == min_samples), "core")
     return exact_quantiles(graph, "distance", [0.5])[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bidlens.functions.text import collapse_spaces
 
@@ -51,31 +51,18 @@ def sections(
     Untitled sections are numbered within their page.
     """
     blocks = F.regexp_extract_all(without_noise(html), F.lit(section), F.lit(1))
-    found = F.transform(
-        blocks,
-        lambda b: F.struct(
-            b.rlike(title).alias("titled"), inner_text(F.regexp_extract(b, title, 1)).alias("title"),
-            b.rlike(info).alias("informed"), inner_text(F.regexp_extract(b, info, 1)).alias("info"),
-        ),
+    # Sections move to their page once; numbering and last-wins then work in place.
+    found = pages.select(id_col, F.posexplode(blocks).alias("_pos", "_b")).filter(F.col("_b").rlike(info)).repartition(id_col)
+    parsed = found.select(
+        id_col, "_pos", F.col("_b").rlike(title).alias("_titled"),
+        inner_text(F.regexp_extract("_b", title, 1)).alias("title"), inner_text(F.regexp_extract("_b", info, 1)).alias("info"),
     )
-    # One row holds its page, so the numbering and the last-wins rule need no shuffle.
-    untitled = F.filter(found, lambda s: ~s["titled"] & s["informed"])
-    named = F.concat(
-        F.filter(found, lambda s: s["titled"] & s["informed"]),
-        F.transform(
-            untitled,
-            lambda s, i: F.struct(
-                s["titled"].alias("titled"), F.concat(F.lit("unnamed"), (i + 1).cast("string")).alias("title"),
-                s["informed"].alias("informed"), s["info"].alias("info"),
-            ),
-        ),
+    number = F.row_number().over(Window.partitionBy(id_col, "_titled").orderBy("_pos"))
+    named = parsed.withColumn(
+        "title", F.when(F.col("_titled"), F.col("title")).otherwise(F.concat(F.lit("unnamed"), number.cast("string")))
     )
-    titles = F.transform(named, lambda s: s["title"])
-    last = F.filter(
-        named,
-        lambda s, i: F.array_position(F.slice(titles, i + 2, F.greatest(F.size(titles), F.lit(1))), s["title"]) == 0,
-    )
-    return pages.select(id_col, F.inline(last)).select(id_col, "title", "info")
+    last = F.row_number().over(Window.partitionBy(id_col, "title").orderBy("_titled", F.desc("_pos")))
+    return named.withColumn("_last", last).filter("_last = 1").select(id_col, "title", "info")
 
 
 def as_map(long: DataFrame, id_col: str) -> DataFrame:
