@@ -26,7 +26,8 @@ def _stamp(c: Column, day_only: bool = False) -> Column:
 def parse_date(c: Column) -> Column:
     """``15.03.2024 10:30`` or ``15.03.2024``, then once more without foreign characters."""
     text = strip(c)
-    return F.coalesce(_stamp(text), _stamp(F.regexp_replace(text, rf"[^\d.:{SPACE}]", "")))
+    bare = F.regexp_replace(text, rf"[^\d.:{SPACE}]", "")
+    return F.coalesce(_stamp(text), F.when(bare != text, _stamp(bare)))
 
 
 def parse_datetime(c: Column) -> Column:

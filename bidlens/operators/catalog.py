@@ -129,11 +129,13 @@ def targets_from_criteria(criteria: DataFrame, query_col: str = "query", order_c
 def exclude_one_identical(candidates: DataFrame, targets: DataFrame, columns: list[str], order_col: str) -> DataFrame:
     """Drop one candidate, the first by ``order_col``, for each target content it equals.
 
-    For targets without an id. The first row per content comes from a partial
-    aggregate, so many copies never meet in one task.
+    For targets without an id. Only a digest of the content moves; the first row
+    per content comes from a partial aggregate, so many copies never meet in one
+    task.
     """
-    wanted = targets.select(F.struct(*columns).alias("_content")).distinct()
-    equal = candidates.withColumn("_content", F.struct(*columns)).join(wanted, "_content", "left_semi")
+    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("_content")
+    wanted = targets.select(digest).distinct()
+    equal = candidates.select(order_col, digest).join(wanted, "_content", "left_semi")
     first = equal.groupBy("_content").agg(F.min(order_col).alias(order_col)).select(order_col)
     return candidates.join(first, order_col, "left_anti")
 

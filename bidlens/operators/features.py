@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from bidlens.functions.kernels import square_length
 from bidlens.functions.text import clean_words, words_of
 from bidlens.functions.vectors import doubles
-from bidlens.operators.clusters import hash_number
+from bidlens.operators.sampling import hash_number
 from bidlens.operators.stats import exact_quantiles
 from bidlens.schema import EMBEDDING_FIELD_WEIGHTS
 

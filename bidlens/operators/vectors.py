@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from bidlens.operators.topk import DIGITS, Scorer, ScorerFactory, block_topk, topk
-from bidlens.session import bounded_rows
+from bidlens.operators.sampling import training_sample
+from bidlens.operators.topk import DIGITS, Scorer, ScorerFactory, block_topk, rank, topk
+from bidlens.session import MAX_BROADCAST_ROWS, bounded_rows, materialise
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -90,19 +92,91 @@ def all_scores(
     return base.select(id_col, vec_col).mapInPandas(run, schema)
 
 
+# Rows from which a self join of vectors first looks which cells it can leave out.
+PRUNE_FROM = 100_000
+
+
 def knn(
-    base: DataFrame, k: int, metric: str = "l2", id_col: str = "id", vec_col: str = "vec", block_rows: int | None = None
+    base: DataFrame, k: int, metric: str = "l2", id_col: str = "id", vec_col: str = "vec",
+    block_rows: int | None = None, cells: int | None = None,
 ) -> DataFrame:
-    """k nearest other rows of every row: (id, neighbour, distance or score, rank)."""
-    left = base.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("query_vec"))
-    make = vector_scorer(metric, vec_col, "query_vec")
-    found = block_topk(
-        base.select(id_col, vec_col), left, make, "query_id", id_col, k, exclude_self=True, block_rows=block_rows
-    )
+    """k nearest other rows of every row: (id, neighbour, distance or score, rank), exact.
+
+    A large table, or one with ``cells`` given, goes through ``cell_knn``.
+    """
+    if metric == "l2" and cells is None:
+        n = base.count()
+        cells = math.ceil(math.sqrt(n) / 4) if n >= PRUNE_FROM else 0
+    if metric == "l2" and cells:
+        found = cell_knn(base, k, cells, id_col, vec_col, block_rows)
+    else:
+        left = base.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("query_vec"))
+        make = vector_scorer(metric, vec_col, "query_vec")
+        found = block_topk(
+            base.select(id_col, vec_col), left, make, "query_id", id_col, k, exclude_self=True, block_rows=block_rows
+        )
     out = found.select(F.col("query_id").alias(id_col), F.col(id_col).alias("neighbour"), "score", "rank")
     return out.withColumn("distance", -F.col("score")).drop("score") if metric == "l2" else out
 
 
+def cell_knn(
+    base: DataFrame, k: int, cells: int, id_col: str = "id", vec_col: str = "vec", block_rows: int | None = None
+) -> DataFrame:
+    """Exact l2 neighbours that leave out cells too far away to hold any.
+
+    Rows belong to the nearest of a few sampled pivots. The k-th distance inside
+    the own cell bounds the answer; by the triangle inequality a cell can only
+    improve it if (distance to pivot) - (cell radius) is within that bound. A cell
+    with fewer than k other rows bounds nothing, so all cells are asked.
+    """
+    pivots = matrix(training_sample(base.select(id_col, vec_col), id_col, min(cells, MAX_BROADCAST_ROWS)).toPandas()[vec_col])
+    squares = (pivots ** 2).sum(axis=1)
+
+    def far(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((x ** 2).sum(axis=1)[:, None] + squares[None, :] - 2 * x @ pivots.T, 0.0))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                d = far(matrix(batch["query_vec"]))
+                yield batch.assign(_route=d.argmin(axis=1).astype(np.int32), _own=d.min(axis=1))
+
+    asked = base.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("query_vec"))
+    placed = materialise(asked.mapInPandas(
+        place, T.StructType([*asked.schema.fields, T.StructField("_route", T.IntegerType()), T.StructField("_own", T.DoubleType())])
+    ), "placed")
+    rows = placed.select(F.col("query_id").alias(id_col), F.col("query_vec").alias(vec_col), "_route")
+    # One number per pivot; a pivot without rows can be left out by anyone.
+    radius = np.full(len(pivots), -np.inf)
+    for cell, widest in placed.groupBy("_route").agg(F.max("_own")).collect():
+        radius[cell] = widest
+    make = vector_scorer("l2", vec_col, "query_vec")
+
+    def meet(queries: DataFrame) -> DataFrame:
+        return block_topk(rows, queries, make, "query_id", id_col, k, exclude_self=True, route="_route", block_rows=block_rows)
+
+    home = materialise(meet(placed.select("query_id", "query_vec", "_route")), "home")
+    bound = home.filter(F.col("rank") == k).select("query_id", (-F.col("score")).alias("_bound"))
+    bounded = placed.join(bound, "query_id", "left").select(
+        "query_id", "query_vec", "_route", F.coalesce("_bound", F.lit(float("inf"))).alias("_bound")
+    )
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                # Scores are rounded; the slack keeps a cell that ties with the bound.
+                near = far(matrix(batch["query_vec"])) - radius[None, :] <= batch["_bound"].to_numpy()[:, None] + 1e-5
+                near[:, ~np.isfinite(radius)] = False
+                near[np.arange(len(batch)), batch["_route"].to_numpy()] = False
+                yield batch[["query_id", "query_vec"]].assign(_cells=[np.flatnonzero(r).astype(np.int32) for r in near])
+
+    others = bounded.mapInPandas(
+        reach, T.StructType([*asked.schema.fields, T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+    ).select("query_id", "query_vec", F.explode("_cells").alias("_route"))
+    both = home.drop("rank").unionByName(meet(others).drop("rank"))
+    return rank(both, "query_id", id_col, k)
+
+
 def relative_knn(base: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
     """Row-wise top of the euclidean similarity matrix: 1 - d / (largest d of all pairs)."""
     left = base.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("query_vec"))

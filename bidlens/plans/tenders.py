@@ -19,7 +19,7 @@ PREPARED = [
 
 def preprocess(df: DataFrame, with_features: bool = True) -> DataFrame:
     """Add cleaned, parsed and calendar columns for every known field the table has."""
-    out = {}
+    out, calendar = {}, {}
     for name in TEXT_FIELDS:
         if name in df.columns:
             out[f"{name}_cleaned"] = clean_text(F.col(name))
@@ -28,14 +28,15 @@ def preprocess(df: DataFrame, with_features: bool = True) -> DataFrame:
             out[name.replace("_text", "_parsed")] = parse_number(F.col(name))
     for name in DATE_FIELDS:
         if name in df.columns:
-            parsed = parse_date(F.col(name))
-            out[name.replace("_text", "_parsed")] = parsed
-            if with_features:
-                out[name.replace("_text", "_features")] = F.when(parsed.isNotNull(), date_features(parsed))
+            parsed = name.replace("_text", "_parsed")
+            out[parsed] = parse_date(F.col(name))
+            calendar[name.replace("_text", "_features")] = F.when(F.col(parsed).isNotNull(), date_features(F.col(parsed)))
     for name in CATEGORICAL_FIELDS:
         if name not in df.columns:
             out[name] = F.lit("")
-    return df.withColumns(out)
+    # Two steps, so that the features read a parsed date instead of parsing again.
+    parsed_rows = df.withColumns(out)
+    return parsed_rows.withColumns(calendar) if with_features and calendar else parsed_rows
 
 
 def prepared(df: DataFrame) -> DataFrame:

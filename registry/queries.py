@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from bidlens.functions import kernels, numbers, text, vectors as vec
 from bidlens.functions.dates import FEATURES, date_features, parse_date, temporal_vector
-from bidlens.operators import catalog, clusters, evaluation, features, index, metric, pairs, price, stats, vectors as vops
+from bidlens.operators import (
+    catalog, clusters, evaluation, features, index, metric, pairs, price, sampling, stats, vectors as vops,
+)
 from bidlens.operators.composite import composite_topk, embedding_topk, with_breakdown
 from bidlens.plans import search
 from bidlens.plans.tenders import (
@@ -638,12 +640,12 @@ def field_stats(spark, sf):
 
 @query
 def head_sample(spark, sf):
-    return evaluation.head_sample(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 1000, "o_orderkey")
+    return sampling.head_sample(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 1000, "o_orderkey")
 
 
 @query
 def train_test_split(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", evaluation.split_column(F.col("o_orderkey")).alias("part"))
+    return table(spark, sf, "orders").select("o_orderkey", sampling.split_column(F.col("o_orderkey")).alias("part"))
 
 
 @query
@@ -658,7 +660,7 @@ def ranking_metrics(spark, sf):
 @query
 def search_quality(spark, sf):
     rows = vectors(spark, sf)
-    asked = evaluation.hash_sample(rows, 50, "id").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    asked = sampling.hash_sample(rows, 50, "id").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
     found = vops.vector_topk(rows, asked, 5, exclude_self=True)
     out = evaluation.search_quality(found, "query_id")
     return out.select("n_queries", *[r6(F.col(c), c) for c in out.columns if c != "n_queries"])
