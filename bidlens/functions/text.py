@@ -36,8 +36,8 @@ def clean_text(
 ) -> Column:
     out = F.lower(c) if lowercase else c
     if remove_punctuation:
-        out = F.regexp_replace(out, rf"[^{WORD}{SPACE}\-.,]", " ")
-        out = F.regexp_replace(out, f"[{SPACE}]+", " ")
+        # White space is no kept character either, so one pass drops and collapses.
+        out = F.regexp_replace(out, rf"[^{WORD}\-.,]+", " ")
     if remove_stopwords:
         words = F.filter(words_of(out), lambda w: ~w.isin(STOP_WORDS))
         out = F.array_join(words, " ")

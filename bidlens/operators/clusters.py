@@ -135,21 +135,29 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
+def neighbour_graph(rows: DataFrame, neighbours: int, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
+    """Nearest rows of every row, written once for all steps that read it."""
+    return materialise(knn(rows, neighbours, "l2", id_col, vec_col), "neighbours")
+
+
+def core_distances(graph: DataFrame, min_samples: int, id_col: str = "id") -> DataFrame:
+    """(_id, core): distance to the ``min_samples``-th neighbour."""
+    return graph.filter(F.col("rank") == min_samples).select(F.col(id_col).alias("_id"), F.col("distance").alias("core"))
+
+
 def density_clusters(
     rows: DataFrame, epsilon: float, min_samples: int = 5, min_cluster_size: int = 5, neighbours: int | None = None,
-    id_col: str = "id", vec_col: str = "vec",
+    id_col: str = "id", vec_col: str = "vec", graph: DataFrame | None = None,
 ) -> DataFrame:
     """(id, label): density clusters, -1 for noise, labels numbered by first member.
 
     The graph links a row to its nearest ``neighbours`` rows where the mutual
     reachability distance (the larger of both core distances and their distance)
-    is at most ``epsilon``; it has at most n x neighbours edges. The core distance
-    is the distance to the ``min_samples``-th neighbour.
+    is at most ``epsilon``; it has at most n x neighbours edges.
     """
-    k = max(neighbours or min_samples, min_samples)
-    graph = materialise(knn(rows, k, "l2", id_col, vec_col), "neighbours")
-    core = graph.filter(F.col("rank") == min_samples).select(F.col(id_col).alias("_id"), F.col("distance").alias("core"))
-    dense = core.filter(F.col("core") <= epsilon)
+    if graph is None:
+        graph = neighbour_graph(rows, max(neighbours or min_samples, min_samples), id_col, vec_col)
+    dense = core_distances(graph, min_samples, id_col).filter(F.col("core") <= epsilon)
     links = (
         graph.filter(F.col("distance") <= epsilon)
         .join(dense.select(F.col("_id").alias("_a")), F.col(id_col) == F.col("_a"), "left_semi")

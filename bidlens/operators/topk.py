@@ -180,6 +180,8 @@ def block_topk(
         found = running.rows(query_col, id_col)
         return empty if found is None else found
 
+    # Both sides may come from one table: give the queries columns of their own.
+    q = q.select(*[F.col(c).alias(c) for c in q.columns])
     cell = [key, "_b", "_q"]
     scored = q.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInPandas(run, schema)
     if route:

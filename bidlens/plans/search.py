@@ -15,7 +15,7 @@ from bidlens.operators.catalog import apply_filters, post_filter
 from bidlens.operators.composite import Groups, composite_topk, with_breakdown
 from bidlens.operators.features import pca_reduce
 from bidlens.operators.stats import exact_quantiles
-from bidlens.operators.vectors import assign_outliers, knn, project, vector_topk
+from bidlens.operators.vectors import assign_outliers, project, vector_topk
 from bidlens.session import materialise, scratch_path
 
 
@@ -101,9 +101,10 @@ def train(
     """Reduce, cluster, learn a map from cluster pairs, project, index."""
     reduced, _ = pca_reduce(vectors, "id", "vec", components)
     reduced = materialise(reduced, "reduced")
+    graph = clusters.neighbour_graph(reduced, min_cluster_size)
     if epsilon is None:
-        epsilon = typical_reach(reduced, min_cluster_size)
-    labels = clusters.density_clusters(reduced, epsilon, min_cluster_size, min_cluster_size)
+        epsilon = typical_reach(graph, min_cluster_size)
+    labels = clusters.density_clusters(reduced, epsilon, min_cluster_size, min_cluster_size, graph=graph)
     labelled = materialise(reduced.join(labels, "id"), "labelled")
     if not keep_noise and labelled.filter("label != -1").limit(1).count():
         labelled = materialise(assign_outliers(labelled), "labelled")
@@ -118,7 +119,6 @@ def train(
     return TrainedModel(labelled.select("id", "label"), learned, embeddings, centroids, path)
 
 
-def typical_reach(rows: DataFrame, min_samples: int) -> float:
+def typical_reach(graph: DataFrame, min_samples: int) -> float:
     """Median core distance: half of all rows count as dense."""
-    graph = materialise(knn(rows, min_samples).filter(F.col("rank") == min_samples), "core")
-    return exact_quantiles(graph, "distance", [0.5])[0]
+    return exact_quantiles(clusters.core_distances(graph, min_samples), "core", [0.5])[0]

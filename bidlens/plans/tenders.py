@@ -148,47 +148,62 @@ def canonical(raw: Column, name: str) -> Column:
     return F.coalesce(*[F.nullif(F.try_element_at(raw, F.lit(t)), F.lit("")) for t in titles])
 
 
-def typed_tender(raw: Column) -> list[Column]:
-    """22 typed columns of the catalogue out of a raw title -> text map."""
-    def get(title: str) -> Column:
-        return F.coalesce(F.try_element_at(raw, F.lit(title)), F.lit(""))
-
-    def first_set(*titles: str) -> Column:
-        return F.coalesce(*[F.nullif(get(t), F.lit("")) for t in titles])
-
-    def yes(title: str) -> Column:
-        return get(title) == "Да"
+# Titles read for the typed catalogue.
+_ONLINE = "электронной площадки в информационно-телекоммуникационной сети «Интернет»"
+TYPED_TITLES = {
+    "icz": "Идентификационный код закупки (ИКЗ)",
+    "object_name": "Наименование объекта закупки",
+    "customer_full_name": "Организация, осуществляющая размещение",
+    "region": "Регион",
+    "procurement_method": "Способ определения поставщика (подрядчика, исполнителя)",
+    "stage": "Этап закупки",
+    "start_date_time": "Дата и время начала срока подачи заявок",
+    "end_date_time": "Дата и время окончания срока подачи заявок",
+    "results_date": "Дата подведения итогов определения поставщика (подрядчика, исполнителя)",
+    "initial_price": "Начальная (максимальная) цена контракта",
+    "contract_execution_period": "Срок исполнения контракта",
+    "participant_requirements": "Требования к участникам",
+    "advantages": "Преимущества",
+    "delivery_place": "Место поставки товара, выполнения работы или оказания услуги",
+    "bid_security_required": "Требуется обеспечение заявки",
+    "bid_security_amount": "Размер обеспечения заявки",
+    "performance_required": "Требуется обеспечение исполнения контракта",
+    "performance_security_size": "Размер обеспечения исполнения контракта",
+    "email": "Адрес электронной почты",
+    "phone": "Номер контактного телефона",
+    "electronic_platform_name": f"Наименование {_ONLINE}",
+    "electronic_platform_url": f"Адрес {_ONLINE}",
+}
+# Titles read where the first one is empty.
+SECOND_TITLES = {"initial_price": "Максимальное значение цены контракта", "delivery_place": "Место поставки товара"}
+
+
+def typed_tenders(df: DataFrame, raw_col: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The 22 typed catalogue columns out of a raw title -> text map.
+
+    Texts first, then parsing: a parsed column reads its text more than once, and
+    two small projections compile to faster code than a single large one.
+    """
+    def text_of(name: str) -> Column:
+        titles = [TYPED_TITLES[name], *([SECOND_TITLES[name]] if name in SECOND_TITLES else [])]
+        found = [F.try_element_at(F.col(raw_col), F.lit(t)) for t in titles]
+        # An empty first value gives way to the second title.
+        return F.coalesce(*[F.nullif(v, F.lit("")) for v in found[:-1]], found[-1], F.lit(""))
 
+    texts = df.select(*keep, *[text_of(n).alias(n) for n in TYPED_TITLES])
     rouble = F.lit("РОССИЙСКИЙ РУБЛЬ")
-    bid = get("Размер обеспечения заявки")
+    bid = F.col("bid_security_amount")
     bid = F.when(F.contains(bid, rouble), strip(F.replace(bid, rouble, F.lit("")))).otherwise(bid)
-    bid_due, performance_due = yes("Требуется обеспечение заявки"), yes("Требуется обеспечение исполнения контракта")
-    online = "электронной площадки в информационно-телекоммуникационной сети «Интернет»"
-    return [
-        get("Идентификационный код закупки (ИКЗ)").alias("icz"),
-        get("Наименование объекта закупки").alias("object_name"),
-        get("Организация, осуществляющая размещение").alias("customer_full_name"),
-        get("Регион").alias("region"),
-        get("Способ определения поставщика (подрядчика, исполнителя)").alias("procurement_method"),
-        get("Этап закупки").alias("stage"),
-        parse_datetime(get("Дата и время начала срока подачи заявок")).alias("start_date_time"),
-        parse_datetime(get("Дата и время окончания срока подачи заявок")).alias("end_date_time"),
-        parse_day(get("Дата подведения итогов определения поставщика (подрядчика, исполнителя)")).alias("results_date"),
-        parse_price(
-            first_set("Начальная (максимальная) цена контракта", "Максимальное значение цены контракта")
-        ).alias("initial_price"),
-        get("Срок исполнения контракта").alias("contract_execution_period"),
-        get("Требования к участникам").alias("participant_requirements"),
-        get("Преимущества").alias("advantages"),
-        F.coalesce(
-            first_set("Место поставки товара, выполнения работы или оказания услуги", "Место поставки товара"), F.lit("")
-        ).alias("delivery_place"),
-        bid_due.alias("bid_security_required"),
-        F.when(bid_due, bid).alias("bid_security_amount"),
-        performance_due.alias("performance_required"),
-        F.when(performance_due, get("Размер обеспечения исполнения контракта")).alias("performance_security_size"),
-        get("Адрес электронной почты").alias("email"),
-        clean_phone(get("Номер контактного телефона")).alias("phone"),
-        get(f"Наименование {online}").alias("electronic_platform_name"),
-        get(f"Адрес {online}").alias("electronic_platform_url"),
-    ]
+    bid_due, performance_due = F.col("bid_security_required") == "Да", F.col("performance_required") == "Да"
+    parsed = {
+        "start_date_time": parse_datetime(F.col("start_date_time")),
+        "end_date_time": parse_datetime(F.col("end_date_time")),
+        "results_date": parse_day(F.col("results_date")),
+        "initial_price": parse_price(F.col("initial_price")),
+        "bid_security_required": bid_due,
+        "bid_security_amount": F.when(bid_due, bid),
+        "performance_required": performance_due,
+        "performance_security_size": F.when(performance_due, F.col("performance_security_size")),
+        "phone": clean_phone(F.col("phone")),
+    }
+    return texts.select(*keep, *[parsed.get(n, F.col(n)).alias(n) for n in TYPED_TITLES])

@@ -15,7 +15,7 @@ from bidlens.operators import (
 from bidlens.operators.composite import composite_topk, embedding_topk, with_breakdown
 from bidlens.plans import search
 from bidlens.plans.tenders import (
-    customer_places, day_text, money_text, order_tenders, prepared, preprocess, table, typed_tender,
+    customer_places, day_text, money_text, order_tenders, prepared, preprocess, table, typed_tenders as typed,
 )
 from bidlens.schema import COMPONENTS
 from bidlens.session import scratch_path
@@ -108,8 +108,7 @@ def raw_tenders(spark, sf) -> DataFrame:
 
 @query
 def typed_tenders(spark, sf):
-    typed = raw_tenders(spark, sf).select(*typed_tender(F.col("raw")))
-    return typed.withColumn("initial_price", F.col("initial_price").cast("double"))
+    return typed(raw_tenders(spark, sf)).withColumn("initial_price", F.col("initial_price").cast("double"))
 
 
 def _stored(spark, sf) -> DataFrame:
