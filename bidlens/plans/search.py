@@ -110,7 +110,7 @@ def train(
         labelled = materialise(assign_outliers(labelled), "labelled")
     made = materialise(pairs.labelled_pairs(labelled), "pairs")
     if not made.filter("label = 0").limit(1).count() or not made.filter("label = 1").limit(1).count():
-        made = materialise(pairs.unlabelled_pairs(labelled), "pairs")
+        made = materialise(pairs.unlabelled_pairs(labelled, graph=graph), "pairs")
     learned = metric.learn(made, labelled, dim, epochs)
     embeddings = materialise(project(labelled.select("id", "vec"), learned.weights), "embeddings")
     centroids = index.train_cells(embeddings, nlist)

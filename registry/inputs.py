@@ -11,6 +11,8 @@ from bidlens.plans.tenders import (
 )
 from bidlens.session import materialise, task_slots
 
+SMALL_ROWS = 100_000
+
 # Prepared tenders are written once per application and table folder, the way a
 # search service loads its history once.
 _prepared: dict[tuple[str, str], DataFrame] = {}
@@ -19,9 +21,12 @@ _prepared: dict[tuple[str, str], DataFrame] = {}
 def prepared_tenders(spark: SparkSession, sf: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _prepared:
-        n = table(spark, sf, "orders").count()
-        rows_per_file = max(10_000, min(1_000_000, n // (2 * task_slots(spark))))
-        _prepared[key] = materialise(prepared(order_tenders(spark, sf)), "tenders", rows_per_file)
+        raw, n, slots = order_tenders(spark, sf), table(spark, sf, "orders").count(), task_slots(spark)
+        if n < SMALL_ROWS * slots:
+            # A small table is one file and so one task; a large one has its own partitions.
+            raw = raw.repartition(slots)
+        rows_per_file = max(10_000, min(1_000_000, n // (2 * slots)))
+        _prepared[key] = materialise(prepared(raw), "tenders", rows_per_file)
     return _prepared[key]
 
 
