@@ -162,7 +162,9 @@ def with_breakdown(
     parts = kernels.breakdown("t", "c", districts, method_groups)
     scored = pairs.withColumn("parts", F.struct(*[v.alias(n) for n, v in parts.items()]))
     ready = {n: F.col(f"parts.{n}") for n in COMPONENTS}
-    return scored.withColumn("explanation", kernels.explain_composite(F.col("score"), ready, weights))
+    # The text shows the full score, not the rounded one that orders results.
+    exact = kernels.composite_score(ready, weights)
+    return scored.withColumn("explanation", kernels.explain_composite(exact, ready, weights))
 
 
 def embedding_scorer(weights: Mapping[str, float] | None = None) -> ScorerFactory:

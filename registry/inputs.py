@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bidlens.functions.vectors import doubles
@@ -12,6 +14,7 @@ from bidlens.plans.tenders import (
 from bidlens.session import materialise, task_slots
 
 SMALL_ROWS = 100_000
+NEW_DAYS = 7
 
 # Prepared tenders are written once per application and table folder, the way a
 # search service loads its history once.
@@ -31,10 +34,10 @@ def prepared_tenders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def new_and_history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Tenders of the newest day and all earlier ones."""
+    """Tenders of the newest week and all earlier ones."""
     tenders = prepared_tenders(spark, sf)
-    newest = tenders.agg(F.max("published")).first()[0]
-    return tenders.filter(F.col("published") == F.lit(newest)), tenders.filter(F.col("published") < F.lit(newest))
+    since = tenders.agg(F.max("published")).first()[0] - timedelta(days=NEW_DAYS)
+    return tenders.filter(F.col("published") > F.lit(since)), tenders.filter(F.col("published") <= F.lit(since))
 
 
 def groups(spark: SparkSession, sf: str) -> dict:

@@ -164,9 +164,9 @@ prep AS MATERIALIZED (
   FROM tenders)"""
 
 NEW_OLD = """,
-latest AS (SELECT max(published) AS d FROM prep),
-fresh AS (SELECT prep.* FROM prep, latest WHERE published = d),
-history AS (SELECT prep.* FROM prep, latest WHERE published < d)"""
+latest AS (SELECT max(published) - INTERVAL 7 DAY AS d FROM prep),
+fresh AS (SELECT prep.* FROM prep, latest WHERE published > d),
+history AS (SELECT prep.* FROM prep, latest WHERE published <= d)"""
 
 
 def ranked(k: int, where: str = "", weights: dict[str, float] = WEIGHTS, targets: str = "fresh", pool: str = "history") -> str:
@@ -175,7 +175,8 @@ def ranked(k: int, where: str = "", weights: dict[str, float] = WEIGHTS, targets
     return f""",
 pairs AS (SELECT t.tender_id AS target_id, c.tender_id AS tender_id, c.price AS neighbour_price, {listed}
   FROM {targets} t, {pool} c WHERE t.tender_id <> c.tender_id),
-scored AS (SELECT *, {r6(score({n: n for n in cols}, weights))} AS score FROM pairs),
+exact AS (SELECT *, {score({n: n for n in cols}, weights)} AS full_score FROM pairs),
+scored AS (SELECT *, {r6('full_score')} AS score FROM exact),
 best AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, tender_id) AS rank FROM scored {where}
   QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY score DESC, tender_id) <= {k})"""
 
@@ -335,11 +336,11 @@ def explanation() -> str:
         f"CASE WHEN {n} > 0.7 THEN 'high {n} similarity (' || format('{{:.2f}}', {n}::DOUBLE) || ')' "
         f"WHEN {n} < 0.3 THEN 'low {n} similarity (' || format('{{:.2f}}', {n}::DOUBLE) || ')' END" for n in names
     )
-    band = """CASE WHEN score >= 0.8 THEN 'very strong' WHEN score >= 0.6 THEN 'strong' WHEN score >= 0.4 THEN 'moderate'
-      WHEN score >= 0.2 THEN 'weak' ELSE 'very weak' END"""
+    band = """CASE WHEN full_score >= 0.8 THEN 'very strong' WHEN full_score >= 0.6 THEN 'strong' WHEN full_score >= 0.4 THEN 'moderate'
+      WHEN full_score >= 0.2 THEN 'weak' ELSE 'very weak' END"""
     picked = f"list_filter([{notes}], lambda x: x IS NOT NULL)[1:3]"
     return (
-        f"({band}) || ' similarity (score: ' || format('{{:.3f}}', score) || ')' || "
+        f"({band}) || ' similarity (score: ' || format('{{:.3f}}', full_score) || ')' || "
         f"CASE WHEN len({picked}) > 0 THEN ' due to ' || array_to_string({picked}, ', ') ELSE '' END"
     )
 
