@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from bidlens.schema import PII_NAME_PARTS, STOP_WORDS
 
@@ -85,6 +85,33 @@ def mask_by_key(key: Column, value: Column) -> Column:
     return F.when(marks, hide(value)).otherwise(shorten(value))
 
 
+def mask_value(c: Column, name: str, kind: T.DataType) -> Column:
+    """Masked form of a column of any type: texts by field name, nested values by their own names.
+
+    Numbers stay; other values are shown as text.
+    """
+    if isinstance(kind, T.StringType):
+        return mask_pii(c, name)
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return c
+    if isinstance(kind, T.StructType):
+        fields = [mask_value(c.getField(f.name), f.name, f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
+        return F.transform_values(c, lambda k, v: mask_by_key(k, v))
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, T.StructType):
+            return F.transform(c, lambda x: mask_value(x, name, inner))
+        return F.transform(c, lambda x: mask_pii(x.cast("string"), name))
+    return c.cast("string")
+
+
+def mask_record(df: DataFrame) -> DataFrame:
+    """The table with every column masked for logging."""
+    return df.select(*[mask_value(F.col(f"`{f.name}`"), f.name, f.dataType).alias(f.name) for f in df.schema.fields])
+
+
 def name_cut(c: Column, limit: int) -> Column:
     """Listing cut: at most ``limit`` characters, the last being an ellipsis."""
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit - 1), F.lit("…"))).otherwise(c)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from bidlens.functions.vectors import doubles, l2_distance
+from bidlens.operators.stats import vector_summary
 from bidlens.operators.vectors import knn
 from bidlens.session import materialise
 
@@ -15,24 +14,9 @@ def sizes(rows: DataFrame, label_col: str = "label") -> DataFrame:
     return rows.groupBy(label_col).agg(F.count(F.lit(1)).alias("size"))
 
 
-def _summary(rows: DataFrame, label_col: str | None, vec_col: str) -> DataFrame:
-    """Mean and population std vectors, merged from per-task partial sums."""
-    v = array_to_vector(doubles(F.col(vec_col)))
-    shape = Summarizer.metrics("mean", "variance", "count").summary(v).alias("s")
-    grouped = rows.groupBy(label_col) if label_col else rows.groupBy()
-    out = grouped.agg(shape)
-    n = F.col("s.count").cast("double")
-    return out.select(
-        *([label_col] if label_col else []), F.col("s.count").alias("size"), vector_to_array("s.mean").alias("mean"),
-        F.transform(
-            vector_to_array("s.variance"), lambda x: F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), x * (n - 1) / n))).otherwise(0.0)
-        ).alias("std"),
-    )
-
-
 def centroids(rows: DataFrame, label_col: str = "label", vec_col: str = "vec") -> DataFrame:
     """(label, centroid) without noise."""
-    found = _summary(rows.filter(F.col(label_col) != -1), label_col, vec_col)
+    found = vector_summary(rows.filter(F.col(label_col) != -1), label_col, vec_col)
     return found.select(label_col, F.col("mean").alias("centroid"))
 
 
@@ -40,7 +24,7 @@ def statistics(rows: DataFrame, label_col: str = "label", vec_col: str = "vec")
     """Size, share, centroid, largest distance to it, and per-feature mean and std of each cluster."""
     total = rows.count()
     clustered = rows.filter(F.col(label_col) != -1)
-    summary = _summary(clustered, label_col, vec_col)
+    summary = vector_summary(clustered, label_col, vec_col)
     reach = (
         clustered.join(summary.select(label_col, "mean"), label_col)
         .groupBy(label_col).agg(F.max(l2_distance(doubles(F.col(vec_col)), F.col("mean"))).alias("diameter"))
@@ -53,11 +37,11 @@ def statistics(rows: DataFrame, label_col: str = "label", vec_col: str = "vec")
 
 def top_features(rows: DataFrame, n: int = 5, label_col: str = "label", vec_col: str = "vec") -> DataFrame:
     """(label, size, place, pos, z_score, cluster_mean, global_mean): features furthest from the overall mean."""
-    whole = _summary(rows, None, vec_col).first()
+    whole = vector_summary(rows, None, vec_col).first()
     base = F.array(*[
         F.struct(F.lit(float(m)).alias("mean"), F.lit(float(s)).alias("std")) for m, s in zip(whole["mean"], whole["std"])
     ])
-    per = _summary(rows.filter(F.col(label_col) != -1), label_col, vec_col)
+    per = vector_summary(rows.filter(F.col(label_col) != -1), label_col, vec_col)
     cells = F.zip_with(
         F.col("mean"), base,
         lambda m, g: F.struct(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,7 +13,7 @@ from bidlens.functions.kernels import square_length
 from bidlens.functions.text import clean_words, words_of
 from bidlens.functions.vectors import doubles
 from bidlens.operators.sampling import hash_number
-from bidlens.operators.stats import exact_quantiles
+from bidlens.operators.stats import exact_quantiles, vector_summary
 from bidlens.schema import EMBEDDING_FIELD_WEIGHTS
 
 
@@ -129,22 +129,18 @@ def pca_reduce(df: DataFrame, id_col: str, vec_col: str, components: int = 100,
 
     The covariance is summed per partition; only a width x width matrix is central.
     """
-    first = df.select(F.size(vec_col).alias("d")).first()
-    if first is None:
-        raise ValueError("no rows to reduce")
-    width = first["d"]
     rows = df.select(id_col, doubles(F.col(vec_col)).alias("v"))
+    whole = vector_summary(rows, None, "v").first()
+    if whole is None or not whole["size"]:
+        raise ValueError("no rows to reduce")
+    width = len(whole["mean"])
     if scale:
-        cols = [F.get(F.col("v"), F.lit(i)) for i in range(width)]
-        stat = rows.agg(*[F.avg(c) for c in cols], *[F.stddev_pop(c) for c in cols]).first()
-        mean, std = [float(x) for x in stat[:width]], [float(x or 0) or 1.0 for x in stat[width:]]
-        shift = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in zip(mean, std)])
+        # A position without spread is only shifted.
+        shift = F.array(*[
+            F.struct(F.lit(float(m)).alias("m"), F.lit(float(s) or 1.0).alias("s")) for m, s in zip(whole["mean"], whole["std"])
+        ])
         rows = rows.withColumn("v", F.zip_with("v", shift, lambda x, t: (x - t["m"]) / t["s"]))
     vectors = rows.select(id_col, array_to_vector("v").alias("v"))
     k = max(1, min(components, width))
     model = PCA(k=k, inputCol="v", outputCol="z").fit(vectors)
     return model.transform(vectors).select(id_col, vector_to_array("z").alias("vec")), model
-
-
-def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)

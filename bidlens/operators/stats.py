@@ -6,8 +6,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from bidlens.functions.vectors import doubles
 from bidlens.session import materialise, task_slots
 
 # Values a final refinement step may bring to the driver.
@@ -88,6 +91,19 @@ def _values_at(values: DataFrame, ranks: set[int], span: _Range) -> dict[int, fl
     return found
 
 
+def vector_summary(rows: DataFrame, group: str | None, vec_col: str) -> DataFrame:
+    """(group, size, mean, std): population statistics per position, merged from per-task partial sums."""
+    shape = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(doubles(F.col(vec_col)))).alias("s")
+    out = (rows.groupBy(group) if group else rows.groupBy()).agg(shape)
+    n = F.col("s.count").cast("double")
+    return out.select(
+        *([group] if group else []), F.col("s.count").alias("size"), vector_to_array("s.mean").alias("mean"),
+        F.transform(
+            vector_to_array("s.variance"), lambda x: F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), x * (n - 1) / n))).otherwise(0.0)
+        ).alias("std"),
+    )
+
+
 def distributed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hits: Column | None = None) -> DataFrame:
     """Rank within ``keys`` without one task per key.
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import datetime
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from bidlens.functions import kernels
+from bidlens.functions.dates import date_features, temporal_vector
+from bidlens.functions.vectors import fuse
 from bidlens.operators import clusters, index, metric, pairs, price
 from bidlens.operators.catalog import apply_filters, post_filter
 from bidlens.operators.composite import Groups, composite_topk, with_breakdown
-from bidlens.operators.features import pca_reduce
+from bidlens.operators.features import OneHot, hashed_words, pca_reduce, scaling as feature_scaling
 from bidlens.operators.stats import exact_quantiles
 from bidlens.operators.vectors import assign_outliers, project, vector_topk
 from bidlens.session import materialise, scratch_path
@@ -56,15 +58,45 @@ def priced_neighbours(
 def vector_find_similar(
     base: DataFrame, queries: DataFrame, k: int = 10, metric_name: str = "cosine", min_similarity: float = 0.0,
     filters: Mapping[str, Any] | None = None, metadata: DataFrame | None = None, weights: np.ndarray | None = None,
+    filter_mode: str = "post",
 ) -> DataFrame:
-    """Exact vector search: optional learned map, top k, threshold, then filters on the hits."""
+    """Exact vector search: optional learned map, top k, threshold, filters.
+
+    Filters apply to the hits, which may leave fewer than k; with
+    ``filter_mode="pre"`` they choose the rows that are searched.
+    """
+    if filter_mode not in ("pre", "post"):
+        raise ValueError("filter_mode is 'pre' or 'post'")
     b, q = base.select("id", "vec"), queries.select("query_id", "query_vec")
+    if filters and filter_mode == "pre" and metadata is not None:
+        b = b.join(post_filter(metadata, filters).select("id"), "id", "left_semi")
     if weights is not None:
         b, q = project(b, weights), project(q, weights, "query_vec", "query_vec")
     found = vector_topk(b, q, k, metric_name, min_similarity=min_similarity)
     if metadata is not None:
         found = found.join(metadata, "id")
-    return post_filter(found, filters)
+    return post_filter(found, filters) if filter_mode == "post" else found
+
+
+def tender_vectors(
+    tenders: DataFrame, text_fields: Sequence[str] = ("title", "description", "customer"), dims: int = 32,
+    categories: Sequence[str] = ("method", "region", "currency", "funding", "status", "platform"), cap: int = 50,
+    scaling: str = "standard", temporal: str = "cyclical", fusion: str = "concatenate", reference: datetime | None = None,
+) -> DataFrame:
+    """(id, vec): hashed words, one-hot categories, scaled price and calendar of prepared tenders in one vector.
+
+    Dates count from ``reference``, by default the latest one seen.
+    """
+    latest = reference or tenders.agg(F.max("published")).first()[0]
+    fit = OneHot.fit(tenders, categories, cap)
+    blocks = {
+        "text": F.concat(*[hashed_words(F.col(n), dims) for n in text_fields]),
+        "categorical": F.concat(*[fit.vector(n) for n in categories]),
+        "numerical": F.array(feature_scaling(tenders, ["price"], scaling)["price"]),
+        "temporal": temporal_vector(F.col("_calendar"), temporal),
+    }
+    dated = tenders.withColumn("_calendar", date_features(F.col("published"), F.lit(latest).cast("timestamp")))
+    return dated.select(F.col("tender_id").alias("id"), fuse(blocks, fusion).alias("vec"))
 
 
 @dataclass
@@ -91,8 +123,26 @@ class TrainedModel:
         index.write_centroids(spark, self.centroids, f"{path}/centroids")
         index.write_centroids(spark, self.learned.weights, f"{path}/map")
         self.labels.write.mode("overwrite").parquet(f"{path}/labels")
+        spark.createDataFrame([(float(x),) for x in self.learned.losses], "loss double").coalesce(1).write.mode("overwrite").parquet(f"{path}/losses")
         index.read_index(spark, self.index_path).write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/index")
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TrainedModel:
+        """A saved model with all it needs to search, the learned map included."""
+        losses = sorted((r["loss"] for r in spark.read.parquet(f"{path}/losses").collect()), reverse=True)
+        learned = metric.LearnedMap(index.read_centroids(spark, f"{path}/map"), losses)
+        built = index.read_index(spark, f"{path}/index")
+        return cls(
+            spark.read.parquet(f"{path}/labels"), learned, built.select("id", "vec"),
+            index.read_centroids(spark, f"{path}/centroids"), f"{path}/index",
+        )
+
+    def search(self, queries: DataFrame, k: int = 10, nprobe: int = 10) -> DataFrame:
+        """Index search for vectors of the space the map was learned in."""
+        mapped = project(queries.select("query_id", "query_vec"), self.learned.weights, "query_vec", "query_vec")
+        built = index.read_index(queries.sparkSession, self.index_path)
+        return index.ivf_search(built, self.centroids, mapped, k, nprobe)
+
 
 def train(
     vectors: DataFrame, components: int = 32, epsilon: float | None = None, min_cluster_size: int = 5, dim: int = 16,

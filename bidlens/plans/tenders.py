@@ -142,10 +142,19 @@ def district_groups(spark: SparkSession, sf_dir: str, limit: int = 1000) -> dict
 PRIORITY_GROUPS = {"urgent": ["1-URGENT", "2-HIGH"], "planned": ["3-MEDIUM", "5-LOW"]}
 
 
-def canonical(raw: Column, name: str) -> Column:
-    """Value of a canonical column out of a raw title -> text map, aliases included."""
-    titles = [t for t, c in {**RAW_TITLES, **TITLE_ALIASES}.items() if c == name]
-    return F.coalesce(*[F.nullif(F.try_element_at(raw, F.lit(t)), F.lit("")) for t in titles])
+def canonical_tenders(df: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """Named columns out of raw title -> text maps, other spellings of a title included.
+
+    This is where scraped records enter the search: ``prepared`` takes the result.
+    """
+    titles: dict[str, list[str]] = {}
+    for title, name in [*RAW_TITLES.items(), *TITLE_ALIASES.items()]:
+        titles.setdefault(name, []).append(title)
+    raw = F.col(raw_col)
+    return df.select(*[
+        F.coalesce(*[F.nullif(F.try_element_at(raw, F.lit(t)), F.lit("")) for t in known]).alias(name)
+        for name, known in titles.items()
+    ])
 
 
 # Titles read for the typed catalogue.

@@ -26,6 +26,8 @@ def stream_upsert(
     def store(batch: DataFrame, batch_id: int) -> None:
         append_changes(log_path, to_typed(batch), batch_id, order, required)
 
+    # An empty first batch gives the log its schema before any file arrives.
+    append_changes(log_path, to_typed(spark.createDataFrame([], schema)), -1, order, required)
     query = (
         reader.load(source).writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -255,6 +255,8 @@ SELECT tender_id AS icz, coalesce(title, '') AS object_name, coalesce(customer,
   '' AS email, '+7(495)' || substr(tender_id, 4) || '12-3' AS phone, coalesce(platform, '') AS electronic_platform_name,
   '' AS electronic_platform_url FROM tenders"""
 
+ORACLE["canonical_tenders"] = f"""WITH {TENDERS} SELECT tender_id, title, customer, region, method, price, published, status, platform FROM prep"""
+
 CRAWL = """
 stored AS (SELECT 'IKZ' || lpad(o_orderkey::VARCHAR, 12, '0') AS icz, 'stored' AS object_name, o_totalprice AS initial_price
   FROM orders WHERE o_orderstatus <> 'P'),
@@ -496,8 +498,8 @@ def cut(e: str) -> str:
 
 
 ORACLE["mask_pii"] = f"SELECT conv_id, turn, {hide('text')} AS contact, {cut('text')} AS note, {hide('role')} AS email FROM conversations"
-ORACLE["mask_nested"] = f"""SELECT doc_id, {hide('source')} AS customer, {cut('text')} AS body, {hide('text')} AS phone,
-  array_to_string(list_transform(string_split(text, chr(10)), lambda x: {cut('x')}), '|') AS notes FROM documents"""
+ORACLE["mask_nested"] = f"""SELECT doc_id, {hide('source')} AS customer, {hide('text')} AS phone, {cut('text')} AS body,
+  {hide('lang')} AS email, n_chars, array_to_string(list_transform(string_split(text, chr(10)), lambda x: {cut('x')}), '|') AS notes FROM documents"""
 
 # --- statistics, samples, evaluation -----------------------------------------
 

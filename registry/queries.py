@@ -15,7 +15,7 @@ from bidlens.operators import (
 from bidlens.operators.composite import composite_topk, embedding_topk, with_breakdown
 from bidlens.plans import search
 from bidlens.plans.tenders import (
-    customer_places, day_text, money_text, order_tenders, prepared, preprocess, table, typed_tenders as typed,
+    canonical_tenders as canonical, customer_places, day_text, money_text, order_tenders, prepared, preprocess, table, typed_tenders as typed,
 )
 from bidlens.schema import COMPONENTS
 from bidlens.session import scratch_path
@@ -111,6 +111,12 @@ def typed_tenders(spark, sf):
     return typed(raw_tenders(spark, sf)).withColumn("initial_price", F.col("initial_price").cast("double"))
 
 
+@query
+def canonical_tenders(spark, sf):
+    t = prepared(canonical(raw_tenders(spark, sf)))
+    return t.select("tender_id", "title", "customer", "region", "method", "price", "published", "status", "platform")
+
+
 def _stored(spark, sf) -> DataFrame:
     """Catalogue before the batch: tenders that are not pending."""
     orders = table(spark, sf, "orders").filter(F.col("o_orderstatus") != "P")
@@ -620,12 +626,17 @@ def mask_pii(spark, sf):
 @query
 def mask_nested(spark, sf):
     d = table(spark, sf, "documents")
-    pairs_ = F.create_map(F.lit("Заказчик"), F.col("source"), F.lit("текст"), F.col("text"), F.lit("Номер телефона"), F.col("text"))
-    masked = F.transform_values(pairs_, lambda k, v: text.mask_by_key(k, v))
-    notes = F.transform(F.split("text", "\n"), lambda x: text.mask_pii(x, "note"))
-    return d.select(
-        "doc_id", F.try_element_at(masked, F.lit("Заказчик")).alias("customer"), F.try_element_at(masked, F.lit("текст")).alias("body"),
-        F.try_element_at(masked, F.lit("Номер телефона")).alias("phone"), F.array_join(notes, "|").alias("notes"),
+    nested = d.select(
+        "doc_id",
+        F.create_map(F.lit("Заказчик"), F.col("source"), F.lit("Номер телефона"), F.col("text")).alias("contacts"),
+        F.struct(F.col("text").alias("body"), F.col("lang").alias("email"), "n_chars").alias("content"),
+        F.split("text", "\n").alias("notes"),
+    )
+    m = text.mask_record(nested)
+    return m.select(
+        "doc_id", F.try_element_at("contacts", F.lit("Заказчик")).alias("customer"),
+        F.try_element_at("contacts", F.lit("Номер телефона")).alias("phone"),
+        "content.body", "content.email", "content.n_chars", F.array_join("notes", "|").alias("notes"),
     )
 
 
@@ -913,17 +924,20 @@ def temporal_encodings(spark, sf):
 
 @query
 def fuse_features(spark, sf):
-    c = _calendar(spark, sf)
-    fit = features.OneHot.fit(c, ["method", "status"], 50)
-    number = features.scaling(c, ["price"], "standard")["price"]
-    blocks = {
-        "text": features.hashed_words(F.col("title"), 8), "categorical": F.concat(fit.vector("method"), fit.vector("status")),
-        "numerical": F.array(number), "temporal": temporal_vector(F.col("f")),
-    }
-    both = c.select("tender_id", vec.fuse(blocks).alias("v"), vec.fuse(blocks, "weighted").alias("w"))
-    def mix(v):
-        return F.aggregate(F.transform(v, lambda x, i: F.when(i == 17, F.lit(0.0)).otherwise(x * (i + 1))), F.lit(0.0), lambda a, x: a + x)
-    return both.select("tender_id", F.size("v").alias("width"), F.round(mix(F.col("v")), 4).alias("joined"), F.round(mix(F.col("w")), 4).alias("weighted"))
+    t = prepared_tenders(spark, sf)
+    options = dict(text_fields=("title",), dims=8, categories=("method", "status"))
+    v = search.tender_vectors(t, **options).withColumnRenamed("vec", "v")
+    both = v.join(search.tender_vectors(t, fusion="weighted", **options).withColumnRenamed("vec", "w"), "id")
+
+    def mix(c):
+        # Places times values, without the raw time stamp.
+        kept = F.transform(c, lambda x, i: F.when(i == 17, F.lit(0.0)).otherwise(x * (i + 1)))
+        return F.aggregate(kept, F.lit(0.0), lambda a, x: a + x)
+
+    return both.select(
+        F.col("id").alias("tender_id"), F.size("v").alias("width"), F.round(mix(F.col("v")), 4).alias("joined"),
+        F.round(mix(F.col("w")), 4).alias("weighted"),
+    )
 
 
 # --- training pairs and learning ---------------------------------------------

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from bidlens.operators.catalog import apply_filters, exclude_one_identical, post_filter, targets_from_criteria
-from bidlens.plans.tenders import canonical, typed_tenders
+from bidlens.plans.tenders import canonical_tenders, typed_tenders
 from bidlens.sources import html
 from bidlens.sources.json_records import essential, read_json_records, write_results
 from bidlens.sources.upsert import append_changes, current_state, upsert, upsert_stats
@@ -72,7 +72,8 @@ def test_typed_mapping(spark):
     assert (row["performance_required"], row["performance_security_size"]) == (False, None)
     assert (row["delivery_place"], row["phone"], row["email"], row["advantages"]) == ("склад", "8(000)1", "", "")
     assert len(row) == 22
-    assert df.select(canonical(F.col("raw"), "price_text")).first()[0] == "110 985,66"
+    named = canonical_tenders(df).first()
+    assert (named["price_text"], named["published_text"], named["title"], named["method"]) == ("110 985,66", "01.02.2024 09:00", "Бумага", None)
 
 
 COLS = "icz string, object_name string, n int, ord int"
@@ -115,6 +116,13 @@ def test_change_log_is_safe_to_repeat(spark, tmp_path):
     assert got == {"a": 2, "b": 1}
 
 
+def test_stream_without_files(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    schema = spark.createDataFrame([], COLS).schema
+    state = stream_upsert(spark, str(tmp_path / "src"), schema, lambda d: d, str(tmp_path / "log"), str(tmp_path / "check"), ["ord"])
+    assert state.count() == 0
+
+
 def test_stream_takes_only_new_files(spark, tmp_path):
     src, log, check = (str(tmp_path / n) for n in ("src", "log", "check"))
     schema = spark.createDataFrame([], COLS).schema

@@ -256,4 +256,32 @@ def test_training_end_to_end(planted, tmp_path):
     model.save(str(tmp_path / "model"))
     spark = planted.sparkSession
     again = index.read_centroids(spark, str(tmp_path / "model" / "centroids"))
+    loaded = search.TrainedModel.load(spark, str(tmp_path / "model"))
+    reduced, _ = features.pca_reduce(planted, "id", "vec", 6)
+    asked = reduced.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    best = {r["query_id"]: r for r in loaded.search(asked, 1, 4).collect()}
+    assert len(best) == 50 and all(r["score"] == 1.0 for r in best.values())
+    assert np.allclose(loaded.learned.weights, model.learned.weights) and loaded.report().first() == report
     assert np.allclose(again, model.centroids) and index.read_index(spark, str(tmp_path / "model" / "index")).count() == 50
+
+
+def test_filter_before_or_after(rows):
+    asked = rows.filter("id < 3").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    meta = rows.select("id", "label")
+    after = search.vector_find_similar(rows, asked, 5, filters={"label": [1, 2]}, metadata=meta)
+    before = search.vector_find_similar(rows, asked, 5, filters={"label": [1, 2]}, metadata=meta, filter_mode="pre")
+    assert after.count() < before.count() == 15
+    assert {r["label"] for r in before.collect()} <= {1, 2}
+    with pytest.raises(ValueError):
+        search.vector_find_similar(rows, asked, 5, filter_mode="during")
+
+
+def test_tender_vectors(spark):
+    from bidlens.plans.tenders import prepared
+
+    raw = [("1", "бумага а4", "Тула", "100,00", "15.03.2024 10:30"), ("2", "", "Москва", "300,00", "")]
+    t = prepared(spark.createDataFrame(raw, ["tender_id", "title", "region", "price_text", "published_text"]))
+    got = {r["id"]: r["vec"] for r in search.tender_vectors(t, ("title",), 4, ("region",)).collect()}
+    assert len(got["1"]) == len(got["2"]) == 4 + 2 + 1 + 8
+    assert sum(got["1"][:4]) == 2.0 and sum(got["2"][:4]) == 0.0 and got["1"][6] == -1.0 and got["2"][6] == 1.0
+    assert got["1"][8] == 0.0
