@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from bidlens.functions.vectors import doubles, l2_distance
 from bidlens.operators.stats import vector_summary
 from bidlens.operators.vectors import knn
-from bidlens.session import materialise
+from bidlens.session import materialise, small_side
 
 
 def sizes(rows: DataFrame, label_col: str = "label") -> DataFrame:
@@ -24,7 +24,7 @@ def statistics(rows: DataFrame, label_col: str = "label", vec_col: str = "vec")
     """Size, share, centroid, largest distance to it, and per-feature mean and std of each cluster."""
     total = rows.count()
     clustered = rows.filter(F.col(label_col) != -1)
-    summary = vector_summary(clustered, label_col, vec_col)
+    summary = small_side(vector_summary(clustered, label_col, vec_col), "clusters")
     reach = (
         clustered.join(summary.select(label_col, "mean"), label_col)
         .groupBy(label_col).agg(F.max(l2_distance(doubles(F.col(vec_col)), F.col("mean"))).alias("diameter"))

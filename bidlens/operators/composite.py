@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from bidlens.functions import kernels
-from bidlens.operators.topk import Scorer, ScorerFactory, topk
+from bidlens.operators.topk import Scorer, ScorerFactory, hits_side, topk
 from bidlens.schema import (
     COMPONENTS, DATE_SCALE_DAYS, DISTRICTS, EMBEDDING_FIELD_WEIGHTS, METHOD_GROUPS, OTHER_FIELDS, PRICE_SCALE_FACTOR,
     PRICE_SCALE_FLOOR, REGION_SPELLINGS, normalised_weights,
@@ -149,16 +149,15 @@ def composite_topk(
 
 
 def with_breakdown(
-    found: DataFrame, candidates: DataFrame, targets: DataFrame, weights: Mapping[str, float] | None = None,
+    found: DataFrame, candidates: DataFrame, targets: DataFrame, k: int, weights: Mapping[str, float] | None = None,
     districts: Groups | None = None, method_groups: Groups | None = None,
 ) -> DataFrame:
     """Component scores and explanation for the winners only (k rows per target)."""
     def packed(df: DataFrame, id_col: str, name: str) -> DataFrame:
         return df.select(F.col("tender_id").alias(id_col), F.struct(*df.columns).alias(name))
 
-    pairs = found.join(packed(candidates, "tender_id", "c"), "tender_id").join(
-        packed(targets, "target_id", "t"), "target_id"
-    )
+    winners = packed(candidates, "tender_id", "c").join(hits_side(found, targets, k), "tender_id")
+    pairs = winners.join(packed(targets, "target_id", "t"), "target_id")
     parts = kernels.breakdown("t", "c", districts, method_groups)
     scored = pairs.withColumn("parts", F.struct(*[v.alias(n) for n, v in parts.items()]))
     ready = {n: F.col(f"parts.{n}") for n in COMPONENTS}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import PCA
@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bidlens.functions.kernels import square_length
-from bidlens.functions.text import clean_words, words_of
+from bidlens.functions.text import clean_text, clean_words, words_of
 from bidlens.functions.vectors import doubles
 from bidlens.operators.sampling import hash_number
 from bidlens.operators.stats import exact_quantiles, vector_summary
@@ -38,11 +38,11 @@ def hashed_words(text: Column, dims: int) -> Column:
     )
 
 
-def encode_distinct(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, text_key, terms, length): each distinct text is encoded once, then joined back."""
-    keyed = df.select(id_col, text.alias("_text")).withColumn("text_key", F.md5("_text"))
-    once = keyed.groupBy("text_key").agg(F.first("_text").alias("_text"))
-    counts = encode_words(once, "text_key", F.col("_text"))
+def encode_distinct(df: DataFrame, id_col: str, text_col: str, prepare: Callable[[Column], Column] = clean_text) -> DataFrame:
+    """(id, text_key, terms, length): each distinct text is cleaned and encoded once, then joined back."""
+    keyed = df.select(id_col, text_col, F.md5(text_col).alias("text_key"))
+    once = keyed.groupBy("text_key").agg(F.first(text_col).alias(text_col))
+    counts = encode_words(once, "text_key", prepare(F.col(text_col)))
     summary = counts.groupBy("text_key").agg(
         F.count(F.lit(1)).alias("terms"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length")
     )

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from bidlens.session import bounded_rows, task_slots
+from bidlens.session import bounded_rows, small_side, task_slots
 
 Scorer = Callable[[pd.DataFrame], np.ndarray]
 ScorerFactory = Callable[[pd.DataFrame], Scorer]
@@ -107,9 +107,9 @@ def rank(scored: DataFrame, query_col: str, id_col: str, k: int) -> DataFrame:
 
 
 def _with_worst(scored: DataFrame, query_col: str, id_col: str, k: int) -> DataFrame:
-    """Ranked rows with the lowest score any base row had for the query."""
-    lowest = scored.groupBy(query_col).agg(F.min("worst").alias("worst"))
-    return rank(scored.drop("worst"), query_col, id_col, k).join(lowest, query_col)
+    """Ranked rows with the lowest score any base row had for the query, from the same pass."""
+    lowest = F.min("worst").over(Window.partitionBy(query_col))
+    return rank(scored.withColumn("worst", lowest), query_col, id_col, k)
 
 
 def scan_topk(
@@ -158,7 +158,8 @@ def block_topk(
     def parts(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
 
-    sizes = parts(b, "_nb").join(parts(q, "_nq"), key)
+    # One row per route; joined to both sides without moving them by a possibly hot route.
+    sizes = small_side(parts(b, "_nb").join(parts(q, "_nq"), key), "routes")
     b = (
         b.join(sizes, key)
         .withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_nb").cast("long")).cast("int"))
@@ -190,6 +191,20 @@ def block_topk(
     return _with_worst(scored, query_col, id_col, k) if with_worst else rank(scored.drop("worst"), query_col, id_col, k)
 
 
+# Hits that may be sent to every task when they are joined back to their rows.
+BROADCAST_HITS = 1_000_000
+
+
+def hits_side(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Hits for a join with the searched table: at most queries x k rows, broadcast if that is little.
+
+    A table of any size is then scanned once for its winners instead of being
+    shuffled for them.
+    """
+    most = BROADCAST_HITS // max(k, 1)
+    return F.broadcast(found) if queries.limit(most + 1).count() <= most else found
+
+
 def topk(
     base: DataFrame, queries: DataFrame, make_scorer: ScorerFactory, query_col: str, id_col: str, k: int,
     exclude_self: bool = False, with_worst: bool = False,

@@ -181,7 +181,8 @@ def relative_knn(base: DataFrame, k: int, id_col: str = "id", vec_col: str = "ve
     """Row-wise top of the euclidean similarity matrix: 1 - d / (largest d of all pairs)."""
     left = base.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("query_vec"))
     make = vector_scorer("l2", vec_col, "query_vec")
-    found = block_topk(base.select(id_col, vec_col), left, make, "query_id", id_col, k, True, with_worst=True)
+    # Written down: the largest distance and the rows come from one pass over all blocks.
+    found = materialise(block_topk(base.select(id_col, vec_col), left, make, "query_id", id_col, k, True, with_worst=True), "matrix")
     widest = found.agg(F.min("worst").alias("widest")).first()["widest"] or 0.0
     similarity = F.lit(1.0) - F.col("score") / F.lit(widest) if widest < 0 else F.lit(1.0)
     return found.select(

@@ -17,6 +17,7 @@ from bidlens.operators.catalog import apply_filters, post_filter
 from bidlens.operators.composite import Groups, composite_topk, with_breakdown
 from bidlens.operators.features import OneHot, hashed_words, pca_reduce, scaling as feature_scaling
 from bidlens.operators.stats import exact_quantiles
+from bidlens.operators.topk import hits_side
 from bidlens.operators.vectors import assign_outliers, project, vector_topk
 from bidlens.session import materialise, scratch_path
 
@@ -29,7 +30,7 @@ def find_similar(
     """Ranked neighbours of each target with component scores, explanation and result counts."""
     pool = apply_filters(candidates, filters)
     found = composite_topk(pool, targets, k, weights, min_similarity, districts, method_groups)
-    detailed = with_breakdown(found, pool, targets, weights, districts, method_groups)
+    detailed = with_breakdown(found, pool, targets, k, weights, districts, method_groups)
     per_query = Window.partitionBy("target_id")
     return detailed.select(
         "target_id", "rank", "tender_id", "score", "parts", "explanation", "c",
@@ -42,7 +43,9 @@ def analyze(
     weights: Mapping[str, float] | None = None, districts: Groups | None = None, method_groups: Groups | None = None,
 ) -> DataFrame:
     """Price prediction for every target from its k most similar tenders, in one job."""
-    return price.predict(priced_neighbours(candidates, targets, k, weights, districts, method_groups), "target_id", method)
+    near = priced_neighbours(candidates, targets, k, weights, districts, method_groups)
+    # k rows per target, read by several aggregates: written, so the search runs once.
+    return price.predict(materialise(near, "neighbours"), "target_id", method)
 
 
 def priced_neighbours(
@@ -52,7 +55,7 @@ def priced_neighbours(
     """(target_id, tender_id, score, rank, price): winners with a positive price or null."""
     found = composite_topk(candidates, targets, k, weights, 0.0, districts, method_groups)
     prices = candidates.select("tender_id", F.when(F.col("price") > 0, F.col("price")).alias("price"))
-    return found.join(prices, "tender_id")
+    return prices.join(hits_side(found, targets, k), "tender_id")
 
 
 def vector_find_similar(
@@ -74,7 +77,7 @@ def vector_find_similar(
         b, q = project(b, weights), project(q, weights, "query_vec", "query_vec")
     found = vector_topk(b, q, k, metric_name, min_similarity=min_similarity)
     if metadata is not None:
-        found = found.join(metadata, "id")
+        found = metadata.join(hits_side(found, q, k), "id")
     return post_filter(found, filters) if filter_mode == "post" else found
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Rows a query-side table may have before it is no longer sent to every task.
 MAX_BROADCAST_ROWS = 4096
@@ -62,5 +62,14 @@ def bounded_rows(df: DataFrame, limit: int = MAX_BROADCAST_ROWS):
     return head if len(head) <= limit else None
 
 
+def small_side(df: DataFrame, name: str, limit: int = 10 * MAX_BROADCAST_ROWS) -> DataFrame:
+    """A summary table for a join: written once, sent to every task only if its row count allows.
+
+    Beyond the bound the join is left to Spark, which shuffles both sides.
+    """
+    kept = materialise(df, name)
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
 def task_slots(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)

@@ -609,7 +609,7 @@ n AS (SELECT doc_id, token, count(*) AS n FROM w GROUP BY ALL)
 SELECT doc_id, token, n, {r6('n / sqrt(sum(n * n) OVER (PARTITION BY doc_id))')} AS weight FROM n"""
 ORACLE["encode_distinct"] = f"""WITH {_DOCS}, w AS (SELECT doc_id, unnest({words('t')}) AS token FROM docs),
 n AS (SELECT doc_id, token, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT doc_id, count(*) AS terms, sqrt(sum(n * n)) AS length FROM n GROUP BY doc_id)
-SELECT doc_id, md5(t) AS text_key, coalesce(terms, 0) AS terms, {r6('coalesce(length, 0.0)')} AS length FROM docs LEFT JOIN s USING (doc_id)"""
+SELECT doc_id, md5(text) AS text_key, coalesce(terms, 0) AS terms, {r6('coalesce(length, 0.0)')} AS length FROM documents LEFT JOIN s USING (doc_id)"""
 
 
 def slots(field: str, cap: int = 12) -> str:

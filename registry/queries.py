@@ -18,7 +18,7 @@ from bidlens.plans.tenders import (
     canonical_tenders as canonical, customer_places, day_text, money_text, order_tenders, prepared, preprocess, table, typed_tenders as typed,
 )
 from bidlens.schema import COMPONENTS
-from bidlens.session import scratch_path
+from bidlens.session import materialise, scratch_path
 from bidlens.sources import html
 from bidlens.sources.json_records import essential, read_json_records
 from bidlens.sources.upsert import upsert, upsert_stats
@@ -332,7 +332,7 @@ def find_similar(spark, sf):
 def explain_composite(spark, sf):
     new, old = new_and_history(spark, sf)
     g = groups(spark, sf)
-    found = with_breakdown(composite_topk(old, new, 5, **g), old, new, **g)
+    found = with_breakdown(composite_topk(old, new, 5, **g), old, new, 5, **g)
     return found.select("target_id", "rank", "tender_id", "explanation")
 
 
@@ -348,7 +348,7 @@ def analyze(spark, sf):
 
 def _neighbours(spark, sf) -> DataFrame:
     new, old = new_and_history(spark, sf)
-    return search.priced_neighbours(old, new, 10, **groups(spark, sf))
+    return materialise(search.priced_neighbours(old, new, 10, **groups(spark, sf)), "neighbours")
 
 
 def _price_query(method: str) -> Query:
@@ -871,7 +871,7 @@ def encode_text(spark, sf):
 
 @query
 def encode_distinct(spark, sf):
-    out = features.encode_distinct(table(spark, sf, "documents"), "doc_id", text.clean_text(F.col("text")))
+    out = features.encode_distinct(table(spark, sf, "documents"), "doc_id", "text")
     return out.select("doc_id", "text_key", "terms", r6(F.col("length"), "length"))
 
 

@@ -73,7 +73,7 @@ def test_unknown_kernel(spark):
 def test_block_scores_equal_column_scores(spark, tenders, preset):
     weights = WEIGHT_PRESETS[preset]
     found = composite_topk(tenders, tenders, 10, weights)
-    detailed = with_breakdown(found, tenders, tenders, weights)
+    detailed = with_breakdown(found, tenders, tenders, 10, weights)
     rows = detailed.withColumn("again", kernels.composite_score({n: F.col(f"parts.{n}") for n in COMPONENTS}, weights)).collect()
     assert len(rows) == 30
     for r in rows:
