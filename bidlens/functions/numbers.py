@@ -34,15 +34,8 @@ def positive_price(c: Column) -> Column:
     The sign is dropped with all other characters that are no digit, dot or comma.
     """
     s = F.regexp_replace(c, r"[^\d.,]", "")
-    has_comma, has_dot = F.contains(s, F.lit(",")), F.contains(s, F.lit("."))
-    comma_is_last = F.instr(F.reverse(s), ",") < F.instr(F.reverse(s), ".")
-    comma, dot, none = F.lit(","), F.lit("."), F.lit("")
-    plain = (
-        F.when(has_comma & ~has_dot, F.replace(s, comma, dot))
-        .when(has_comma & has_dot & comma_is_last, F.replace(F.replace(s, dot, none), comma, dot))
-        .when(has_comma & has_dot, F.replace(s, comma, none))
-        .otherwise(s)
-    )
+    # The last separator is the decimal one if it is a comma; commas before a last dot only group.
+    plain = F.when(s.rlike(r",[^.]*$"), F.translate(s, ",.", ".")).otherwise(F.translate(s, ",", ""))
     value = F.when(plain.rlike(STRICT_NUMBER), plain.try_cast("double"))
     return F.when(value > 0, value)
 

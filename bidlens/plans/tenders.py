@@ -10,6 +10,7 @@ from bidlens.functions.text import clean_phone, clean_text, strip
 from bidlens.schema import (
     CATEGORICAL_FIELDS, DATE_FIELDS, NUMERIC_FIELDS, RAW_TITLES, TEXT_FIELDS, TITLE_ALIASES,
 )
+from bidlens.session import spread
 
 PREPARED = [
     "tender_id", "title", "description", "customer", "region", "method", "price", "published",
@@ -60,8 +61,10 @@ def prepared(df: DataFrame) -> DataFrame:
     )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """One table; ``spread_by`` names its key where costly row work follows."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, spread_by) if spread_by else df
 
 
 def money_text(c: Column) -> Column:
@@ -78,7 +81,7 @@ def order_tenders(spark: SparkSession, sf_dir: str, parts: bool = True, customer
 
     The wide joins are on unique keys; ``nation`` and ``region`` have a fixed size.
     """
-    orders = table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders", "o_orderkey")
     out = orders.select(
         "o_orderkey", "o_custkey",
         F.concat(F.lit("IKZ"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("tender_id"),

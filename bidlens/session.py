@@ -62,6 +62,15 @@ def bounded_rows(df: DataFrame, limit: int = MAX_BROADCAST_ROWS):
     return head if len(head) <= limit else None
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table in fewer files than task slots, spread for costly row work.
+
+    A table of many files is left as it is: its scan has tasks enough.
+    """
+    slots = task_slots(df.sparkSession)
+    return df.repartition(slots, key) if len(df.inputFiles()) < slots else df
+
+
 def small_side(df: DataFrame, name: str, limit: int = 10 * MAX_BROADCAST_ROWS) -> DataFrame:
     """A summary table for a join: written once, sent to every task only if its row count allows.
 

@@ -62,12 +62,12 @@ def json_scan(spark, sf):
 
 @query
 def page_links(spark, sf):
-    return html.links(table(spark, sf, "pages"), "page_id", F.col("html"), html.ANY_LINK, "https://tenders.example")
+    return html.links(table(spark, sf, "pages", "page_id"), "page_id", F.col("html"), html.ANY_LINK, "https://tenders.example")
 
 
 @query
 def page_sections(spark, sf):
-    return html.sections(table(spark, sf, "pages"), "page_id", F.col("html"), PAGE_SECTION, PAGE_TITLE, PAGE_INFO)
+    return html.sections(table(spark, sf, "pages", "page_id"), "page_id", F.col("html"), PAGE_SECTION, PAGE_TITLE, PAGE_INFO)
 
 
 @query
@@ -498,7 +498,7 @@ def normalize_vectors(spark, sf):
 
 @query
 def parse_number(spark, sf):
-    o = table(spark, sf, "orders")
+    o = table(spark, sf, "orders", "o_orderkey")
     money = money_text(F.col("o_totalprice"))
     forms = {
         "plain": money, "nbsp": F.translate(money, " ", " "), "currency": F.concat(money, F.lit(" РОССИЙСКИЙ РУБЛЬ")),
@@ -510,7 +510,7 @@ def parse_number(spark, sf):
 
 @query
 def parse_date_(spark, sf):
-    o = table(spark, sf, "orders")
+    o = table(spark, sf, "orders", "o_orderkey")
     d = day_text(F.col("o_orderdate"))
     forms = {
         "full": d, "day": F.substring(d, 1, 10), "spaced": F.concat(F.lit("  "), F.replace(d, F.lit(" "), F.lit("   ")), F.lit(" ")),
@@ -525,13 +525,13 @@ QUERIES["parse_date"] = QUERIES.pop("parse_date_")
 
 @query
 def clean_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+    return table(spark, sf, "documents", "doc_id").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query
 def clean_text_stopwords(spark, sf):
     said = F.concat(F.lit("Поставка и монтаж, для "), F.col("lang"), F.lit(" в срок! "), F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", text.clean_text(said, remove_stopwords=True).alias("cleaned"))
+    return table(spark, sf, "documents", "doc_id").select("doc_id", text.clean_text(said, remove_stopwords=True).alias("cleaned"))
 
 
 @query
@@ -589,7 +589,7 @@ QUERIES["preprocess"] = QUERIES.pop("preprocess_")
 
 @query
 def parse_price(spark, sf):
-    o = table(spark, sf, "orders")
+    o = table(spark, sf, "orders", "o_orderkey")
     money = money_text(F.col("o_totalprice"))
     return o.select(
         "o_orderkey", numbers.parse_price(money).cast("double").alias("price"),
@@ -606,7 +606,7 @@ def clean_phone(spark, sf):
 
 @query
 def extract_price(spark, sf):
-    o = table(spark, sf, "orders")
+    o = table(spark, sf, "orders", "o_orderkey")
     eu = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")
     first = F.when(F.col("o_orderstatus") == "P", "не указана").when(F.col("o_orderstatus") == "O", "0,00").otherwise(F.concat(F.lit("-"), eu, F.lit(" руб.")))
     second = F.when(F.col("o_orderstatus") == "O", F.format_number("o_totalprice", 2))
@@ -625,7 +625,7 @@ def mask_pii(spark, sf):
 
 @query
 def mask_nested(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", "doc_id")
     nested = d.select(
         "doc_id",
         F.create_map(F.lit("Заказчик"), F.col("source"), F.lit("Номер телефона"), F.col("text")).alias("contacts"),
