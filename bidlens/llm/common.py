@@ -87,8 +87,11 @@ def powers(n: int, undo: bool = False) -> np.ndarray:
     return _powers[name][:n]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, byte offset) of each word: runs of bytes other than ASCII white space, A-Z as a-z."""
+def word_hashes(data: bytes, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, byte offset) of each word: runs of bytes other than ASCII white space, A-Z as a-z.
+
+    ``prefixes`` adds the first so many bytes of each longer word, hashed apart from words.
+    """
     raw = np.frombuffer(data, np.uint8)
     gap = _ASCII_SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
@@ -97,11 +100,22 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), start
     values = _RANDOM[_LOWER[raw]] * powers(len(raw))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
-    return mix((total[end] - total[start]) * powers(len(raw), True)[start] + (end - start).astype(np.uint64)), start
-
-
-def text_words(texts: list[str], limit: int = BATCH_BYTES) -> list[np.ndarray]:
-    """Word hashes of each text. A text beyond ``limit`` bytes is hashed in parts cut at white space."""
+    undo = powers(len(raw), True)
+    found = mix((total[end] - total[start]) * undo[start] + (end - start).astype(np.uint64))
+    if not prefixes:
+        return found, start
+    parts, places = [found], [start]
+    for n in prefixes:
+        at = start[end - start > n]
+        parts.append(mix((total[at + n] - total[at]) * undo[at] + np.uint64(n << 40)))
+        places.append(at)
+    where = np.concatenate(places)
+    order = np.argsort(where, kind="stable")
+    return np.concatenate(parts)[order], where[order]
+
+
+def text_words(texts: list[str], prefixes: tuple[int, ...] = (), limit: int = BATCH_BYTES) -> list[np.ndarray]:
+    """Word (and prefix) hashes of each text. A text beyond ``limit`` bytes is hashed in parts cut at white space."""
     found: list[np.ndarray] = []
     for _, run in by_bytes(texts, texts, limit):
         if len(run) == 1 and len(run[0]) > limit:
@@ -110,12 +124,12 @@ def text_words(texts: list[str], limit: int = BATCH_BYTES) -> list[np.ndarray]:
                 end = at + limit
                 while end < len(data) and not _ASCII_SPACE[data[end]]:
                     end += 1
-                parts.append(word_hashes(data[at:end])[0])
+                parts.append(word_hashes(data[at:end], prefixes)[0])
                 at = end
             found.append(np.concatenate(parts))
             continue
         coded = [t.encode() for t in run]
-        hashes, start = word_hashes(b"\n".join(coded))
+        hashes, start = word_hashes(b"\n".join(coded), prefixes)
         bounds = np.cumsum([0] + [len(c) + 1 for c in coded])
         cut = np.searchsorted(start, bounds)
         found += [hashes[a:b] for a, b in zip(cut[:-1], cut[1:])]
