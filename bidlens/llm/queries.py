@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bidlens.llm import decontaminate, licenses, packing, pii, quality_ordinal, rule_lists, token_counts, toxicity
+from bidlens.llm import decontaminate, jaccard_join, licenses, line_dedup, packing, pii, quality_ordinal, rule_lists, token_counts, toxicity
 from bidlens.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,6 +15,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ordinal.graded_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,13 +53,41 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_line_dedup": op2_line_dedup,
     "op3_personal_data": op3_personal_data,
     "op4_toxicity": op4_toxicity,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+# Shingles, links by counted overlaps, and the smallest id that links reach.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS set_
+  FROM w
+), t AS MATERIALIZED (SELECT doc_id, len(set_) AS n, unnest(set_) AS tok FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS shared
+  FROM t a JOIN t b ON a.tok = b.tok AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY ALL
+), e AS MATERIALIZED (
+  SELECT a, b FROM p WHERE 100 * shared >= 75 * (na + nb - shared)
+  UNION ALL SELECT b, a FROM p WHERE 100 * shared >= 75 * (na + nb - shared)
+), r AS (
+  SELECT a AS node, a AS reached FROM (SELECT DISTINCT a FROM e)
+  UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a
+), c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, len(s.set_) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON s.doc_id = c.node
+"""
+
+ORACLE: dict[str, str] = {"op6_ngram_jaccard_join": OP6_SQL}
