@@ -79,7 +79,8 @@ def find_items(text: str, items: list, pieces: ahocorasick.Automaton) -> list[tu
         item_id, pattern, at, budget, back, back_at = items[k]
         best = None
         low, high = None, None
-        for a, b in [*sorted(set(found)), (len(folded) + 1, len(folded) + 1)]:
+        # A window may end behind the text; the last entry lies behind every window.
+        for a, b in [*sorted(set(found)), (1 << 62, 1 << 62)]:
             if high is not None and a <= high:
                 high = max(high, b)
                 continue

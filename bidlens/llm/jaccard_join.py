@@ -151,8 +151,8 @@ def sketches(texts: DataFrame, percent: int, common: tuple[np.ndarray, np.ndarra
             rows = []
             for doc_id, words in zip(ids, text_words(run)):
                 tokens = shingles(words)
-                if not len(tokens):
-                    rows.append((doc_id, 0, None, None, None))
+                if not len(tokens) or doc_id is None:
+                    rows.append((doc_id, len(tokens), None, None, None))
                     continue
                 key = set_key(tokens)
                 if not seen.first_time(key):
@@ -365,8 +365,8 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, id_col: str = "d
     link if shared shingles are at least ``percent`` of all shingles of both;
     ``component_id`` is the smallest doc_id that links reach. Null texts and texts without
     words have no shingles and stay alone. Rows with one id are rows of one document and
-    each get a result; a row with a null id takes part and gets the smallest id it is
-    linked with, if any. An empty table gives an empty one.
+    each get a result; a row with a null id links with nothing and gets a null component.
+    An empty table gives an empty one.
     """
     spark = docs.sparkSession
     texts = documents(docs, id_col, text_col)
