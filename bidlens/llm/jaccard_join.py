@@ -5,12 +5,12 @@ A query set can only be similar to a member if it shares enough tokens with the
 only the groups that pass this bound are opened and compared member by member. How it runs:
 
 1. Every text becomes its set of shingle hashes; texts with one set are one node.
-2. Sets that share a minimum hash are compared with one leader each, which joins most
-   copies at a cost linear in their number. What is joined is a class.
-3. All sets are searched, whole: tokens are ordered by how many sets hold them, and two
-   similar sets share one of their first tokens. A class is cut into groups of bounded
-   size; a set meets only groups of other classes, and only those that hold enough of its
-   first tokens are candidates.
+2. Sets that share a pair of minimum hashes are compared with one leader each, which joins
+   most copies at a cost linear in their number. What is joined is a class.
+3. All sets are searched, whole: tokens are ordered by how many sets hold them. Before the
+   first token that two similar sets share, neither can have more tokens than it may lack
+   in the other. Sets are put into groups of bounded size by their most frequent pair of
+   minimum hashes; a set meets the groups of other classes that hold such a token.
 4. For each candidate the group's token union bounds the overlap; groups that pass are
    opened. Links found here join classes, and a component's name is its smallest doc_id.
 
@@ -30,14 +30,15 @@ from bidlens.session import materialise
 
 WORDS = 5
 SIMILARITY = 75  # percent
-MIN_KEYS = 6
-AGREEING_KEYS = 2
+# Parts the tokens are dealt into by hash; the smallest token of each part is a minimum hash, and
+# two of them together are a key that copies share.
+MIN_PARTS = 16
 # Sets that hold a token before it counts as common and moves to the end of the order.
 COMMON = 4
 # Common tokens that are sent to all tasks, 12 bytes each; the rarest common ones beyond are
 # treated as uncommon, which changes the work and not the result.
 SENT_COMMON = 1 << 19
-GROUP_SIZE = 32
+GROUP_SIZE = 128
 # Packed tokens a task keeps before it hands them on.
 HELD_TOKENS = 1 << 20
 SEEN_SETS = 1 << 20
@@ -62,7 +63,11 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def min_keys(tokens: np.ndarray) -> list[int]:
-    return [int(mix(tokens + np.uint64(k + 1) * _SALT).min().astype(np.int64)) for k in range(MIN_KEYS)]
+    """One number for each pair of the smallest tokens of two parts."""
+    parts, first = np.unique(mix(tokens) % np.uint64(MIN_PARTS), return_index=True)
+    least = np.zeros(MIN_PARTS, np.uint64)
+    least[parts.astype(np.int64)] = tokens[first]
+    return mix(least[::2] + mix(least[1::2] + _SALT)).astype(np.int64).tolist()
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -214,24 +219,31 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def leader_links(texts: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
-    """Links between sets and the leaders of their minimum hashes; one leader for each hash.
+    """Links between sets and the leaders of their minimum hashes: for each hash the set named first and the smallest one.
 
-    A shortcut for groups of copies: what it does not find is left to the search.
+    The smallest set is close to all that hold it with little besides. A shortcut for
+    groups of copies: what it does not find is left to the search.
     """
     nodes = sketched.filter(F.col("keys").isNotNull()).select("key", "n", "keys")
-    spread = nodes.select("key", "n", "keys", F.posexplode("keys").alias("place", "value"))
-    led = spread.groupBy("place", "value").agg(F.min_by(F.struct("key", "n", "keys"), "key").alias("leader"), F.max("key").alias("_last"))
-    led = led.filter(F.col("_last") != F.col("leader.key"))
-    agree = F.aggregate(F.zip_with(F.col("keys"), F.col("leader.keys"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    spread = nodes.select("key", "n", F.posexplode("keys").alias("place", "value"))
+    who = F.struct("key", "n")
+    led = spread.groupBy("place", "value").agg(
+        F.min(who).alias("_first"), F.min(F.struct("n", "key")).alias("_least"), F.max("key").alias("_last")
+    ).filter(F.col("_last") != F.col("_first.key"))
+    least = F.struct(F.col("_least.key").alias("key"), F.col("_least.n").alias("n"))
+    led = led.select("place", "value", F.explode(F.array("_first", least)).alias("leader"))
     near = 100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n")
-    pairs = spread.join(led, ["place", "value"]).filter((F.col("key") != F.col("leader.key")) & near & (agree >= AGREEING_KEYS))
+    pairs = spread.join(led, ["place", "value"]).filter((F.col("key") != F.col("leader.key")) & near)
     pairs = materialise(pairs.select(F.col("key").alias("a"), F.col("leader.key").alias("b")).distinct(), "leader_pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key"))
     return materialise(compared(pairs, token_sets(texts, wanted, sketched), percent), "leader_links")
 
 
 def shared_tokens(sketched: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """(token, key, n): first tokens that two sets or more have. Tokens known as common are dealt by set, not by token."""
+    """(token, key, n, rank): first tokens that two sets or more have, and how many come before them in the set.
+
+    Tokens known as common are dealt by set, not by token.
+    """
 
     def deal(batches):
         held: list[tuple[np.ndarray, int, int]] = []
@@ -242,6 +254,7 @@ def shared_tokens(sketched: DataFrame, common: np.ndarray, buckets: int) -> Data
             lengths = [len(t) for t, _, _ in held]
             keys = np.repeat(np.array([k for _, k, _ in held], np.int64), lengths)
             ns = np.repeat(np.array([n for _, _, n in held], np.int32), lengths)
+            ranks = np.concatenate([np.arange(m, dtype=np.int32) for m in lengths])
             where = buckets_of(tokens, buckets).astype(np.int64)
             if len(common):
                 at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
@@ -250,8 +263,8 @@ def shared_tokens(sketched: DataFrame, common: np.ndarray, buckets: int) -> Data
             values, starts = np.unique(where[order], return_index=True)
             parts = np.split(order, starts[1:])
             return pa.RecordBatch.from_arrays(
-                [pa.array(values.astype(np.int32)), *[pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (tokens, keys, ns)]],
-                names=["bucket", "tokens", "keys", "ns"])
+                [pa.array(values.astype(np.int32)), *[pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (tokens, keys, ns, ranks)]],
+                names=["bucket", "tokens", "keys", "ns", "ranks"])
 
         for batch in batches:
             for key, n, first in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "first"))):
@@ -264,91 +277,131 @@ def shared_tokens(sketched: DataFrame, common: np.ndarray, buckets: int) -> Data
             yield hand_on()
 
     def meet(part: pa.Table) -> pa.Table:
-        tokens, keys, ns = (
+        columns = [
             np.concatenate([np.frombuffer(x, t) for x in part.column(c).to_pylist()])
-            for c, t in (("tokens", np.uint64), ("keys", np.int64), ("ns", np.int32))
-        )
-        order = np.lexsort((keys, tokens))
-        tokens, keys, ns = tokens[order], keys[order], ns[order]
-        new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])))
-        tokens, keys, ns = tokens[new], keys[new], ns[new]
+            for c, t in (("tokens", np.uint64), ("keys", np.int64), ("ns", np.int32), ("ranks", np.int32))
+        ]
+        order = np.lexsort((columns[1], columns[0]))
+        tokens, keys = columns[0][order], columns[1][order]
+        kept = order[np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])))]
         if part.column("bucket")[0].as_py() >= 0:
+            tokens = columns[0][kept]
             same = tokens[1:] == tokens[:-1]
-            several = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            tokens, keys, ns = tokens[several], keys[several], ns[several]
-        return pa.table({"token": pa.array(tokens.view(np.int64)), "key": pa.array(keys), "n": pa.array(ns.astype(np.int64))})
+            kept = kept[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        tokens, keys, ns, ranks = (c[kept] for c in columns)
+        return pa.table({
+            "token": pa.array(tokens.view(np.int64)), "key": pa.array(keys), "n": pa.array(ns.astype(np.int64)), "rank": pa.array(ranks)
+        })
+
+    packed = sketched.filter(F.col("first").isNotNull()).select("key", "n", "first").mapInArrow(
+        deal, "bucket int, tokens binary, keys binary, ns binary, ranks binary"
+    )
+    return packed.groupBy("bucket").applyInArrow(meet, "token long, key long, n long, rank int")
 
-    packed = sketched.filter(F.col("first").isNotNull()).select("key", "n", "first").mapInArrow(deal, "bucket int, tokens binary, keys binary, ns binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "token long, key long, n long")
+
+def set_groups(sketched: DataFrame) -> DataFrame:
+    """(key, group) of every set that shares a pair of minimum hashes: the sets of its most frequent pair, in parts of bounded size.
+
+    The grouping decides how well unions bound, not what is found; a set that is not listed is a group of its own.
+    """
+    spread = sketched.filter(F.col("keys").isNotNull()).select("key", F.posexplode("keys").alias("place", "value")).distinct()
+    counted = spread.groupBy("place", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    best = spread.join(counted, ["place", "value"]).groupBy("key").agg(F.max(F.struct("n", "place", "value")).alias("_p"))
+    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("_p.n") / GROUP_SIZE))
+    return best.select("key", F.xxhash64("_p.place", "_p.value", part).alias("group"))
 
 
-def candidate_groups(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(key, class, group): sets and the groups of other classes that hold enough of their first tokens.
+def described(rows: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of sets with ``group`` and ``standing``, the size and name of the class; a set alone is its own class and group."""
+    sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("_size"))
+    known = classes.join(sizes, "class").select("key", F.struct(F.col("_size").alias("size"), F.col("class").alias("name")).alias("_standing"))
+    alone = F.struct(F.lit(1).cast("long").alias("size"), F.col("key").alias("name"))
+    joined = rows.join(known, "key", "left").join(groups, "key", "left")
+    return joined.select(*rows.columns, F.coalesce("_standing", alone).alias("standing"), F.coalesce("group", "key").alias("group"))
 
-    Sets of smaller classes look into groups of larger ones. If x and y are similar, the
-    one whose first tokens end earlier has at least overlap - (size - first) of them in
-    the other's first tokens; the smaller of both bounds holds for either.
+
+def candidate_groups(shared: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(key, standing, group): sets and the groups that may hold a similar set of a larger class.
+
+    Only sets of different classes matter, and the one of smaller standing looks for the
+    other. Sizes must allow them to be similar, and so must the rank of the token they meet
+    in: what comes before the first shared token is not shared.
     """
-    sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"))
-    known = classes.join(sizes, "class")
-    rows = shared.join(known, "key", "left").select(
-        "token", "key", "n", F.coalesce("class", "key").alias("class"), F.coalesce("class_size", F.lit(1)).alias("class_size")
-    )
-    mixed = rows.groupBy("token").agg(F.min("class").alias("_a"), F.max("class").alias("_b")).filter(F.col("_a") != F.col("_b")).select("token")
-    rows = rows.join(mixed, "token").withColumn(
-        "group", F.pmod(F.xxhash64("key"), F.ceil(F.col("class_size") / GROUP_SIZE))
+    rows = described(shared, classes, groups)
+    n = F.col("n")
+
+    def most_before(size: Column, other: Column) -> Column:
+        """Tokens of a set of ``size`` that a similar set of ``other`` may lack."""
+        return size - F.ceil(percent * (size + other) / F.lit(100 + percent))
+
+    mixed = rows.groupBy("token").agg(
+        F.min("standing.name").alias("_a"), F.max("standing.name").alias("_b"), F.max(F.col("rank") <= most_before(n, n)).alias("_early")
+    ).filter((F.col("_a") != F.col("_b")) & F.col("_early"))
+    rows = materialise(rows.join(mixed.select("token"), "token"), "mixed")
+    # Of the members that hold the token: sizes, the smallest rank, the highest standing.
+    held = rows.groupBy("token", F.col("group").alias("g")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("rank").alias("g_rank"), F.max("standing").alias("top"),
     )
-    rows = materialise(rows, "mixed")
-    ranges = rows.groupBy("class", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    groups = rows.select("token", F.col("class").alias("g_class"), F.col("class_size").alias("g_size"), F.col("group").alias("g")).distinct()
-    looks = (F.col("class_size") < F.col("g_size")) | (F.col("class_size") == F.col("g_size")) & (F.col("class") < F.col("g_class"))
-    hits = rows.join(groups, "token").filter(looks).groupBy("key", "n", "g_class", "g").agg(F.count(F.lit(1)).alias("hits"))
-    with_range = hits.join(ranges.select(F.col("class").alias("g_class"), F.col("group").alias("g"), "low", "high"), ["g_class", "g"])
-    n, low, high = F.col("n"), F.col("low"), F.col("high")
-    possible = (100 * high >= percent * n) & (100 * n >= percent * low)
-    # The least size that can still be similar, and the largest.
-    least, most = F.greatest(low, F.ceil(percent * n / 100)), F.least(high, F.floor(100 * n / F.lit(percent)))
-    # The second bound falls with the size but for rounding, which is worth one at most.
-    need = F.least(_first_shared(n, least, n, percent), _first_shared(n, most, most, percent) - 1)
-    return with_range.filter(possible & (F.col("hits") >= need)).select("key", F.col("g_class").alias("class"), F.col("g").alias("group"))
-
-
-def _first_shared(n: Column, m: Column, of: Column, percent: int) -> Column:
-    """Least shared first tokens of the set of size ``of`` if sets of n and m are similar."""
-    return F.greatest(F.lit(1), F.ceil(percent * (n + m) / F.lit(100 + percent)) - F.ceil(percent * of / 100) + 1)
+    least = F.greatest("low", F.ceil(percent * n / 100))
+    most = F.least("high", F.floor(100 * n / F.lit(percent)))
+    meets = (least <= most) & (F.col("rank") <= most_before(n, least)) & (F.col("g_rank") <= most_before(most, n))
+    return rows.join(held, "token").filter((F.col("standing") < F.col("top")) & meets).select(
+        "key", "standing", F.col("g").alias("group")
+    ).distinct()
 
 
 def group_links(texts: DataFrame, sketched: DataFrame, shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links between classes: each candidate's group is opened if its token union allows."""
-    candidates = materialise(candidate_groups(shared, classes, percent), "candidates")
-    sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"))
-    members = classes.join(sizes, "class").withColumn("group", F.pmod(F.xxhash64("key"), F.ceil(F.col("class_size") / GROUP_SIZE)))
-    opened = candidates.select("class", "group").distinct()
-    # A class of one set is not listed in ``classes``.
-    single = opened.join(classes.select("class").distinct(), "class", "left_anti").select(F.col("class").alias("key"), "class", "group")
-    members = materialise(members.join(opened, ["class", "group"]).select("key", "class", "group").unionByName(single), "members")
+    groups = materialise(set_groups(sketched), "set_groups")
+    candidates = materialise(candidate_groups(shared, classes, groups, percent), "candidates")
+    opened = candidates.groupBy("group").agg(F.count(F.lit(1)).alias("_asked"))
+    listed = groups.join(opened.select("group"), "group", "left_semi")
+    single = opened.select("group").join(listed, "group", "left_anti").select(F.col("group").alias("key"), "group")
+    members = described(listed.select("key").unionByName(single.select("key")), classes, groups)
+    members = materialise(members, "members")
     wanted = candidates.select("key").unionByName(members.select("key"))
     sets = materialise(token_sets(texts, wanted, sketched), "sets")
-    # About GROUP_SIZE sets in a group.
-    stored = members.join(sets, "key").groupBy("class", "group").agg(F.collect_list(F.struct("key", "tokens")).alias("members"))
-    asked = candidates.join(sets, "key").join(stored, ["class", "group"]).select("key", "tokens", "members")
+    # About GROUP_SIZE sets in a group, and as many that ask in a row; a group that many ask has many rows.
+    stored = members.join(sets, "key").groupBy("group").agg(F.collect_list(F.struct("key", "standing", "tokens")).alias("members"))
+    salted = candidates.join(opened, "group").withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("_asked") / GROUP_SIZE)))
+    asked = salted.join(sets, "key").groupBy("group", "part").agg(F.collect_list(F.struct("key", "standing", "tokens")).alias("asked"))
 
     def search(batches):
         for batch in batches:
-            a, b = [], []
-            for key, tokens, group in zip(*(batch.column(c).to_pylist() for c in ("key", "tokens", "members"))):
-                query = np.frombuffer(tokens, np.uint64)
-                sets_ = [(m["key"], np.frombuffer(m["tokens"], np.uint64)) for m in group]
-                union = np.unique(np.concatenate([t for _, t in sets_])) if len(sets_) > 1 else sets_[0][1]
-                if 100 * overlap(query, union) < percent * len(query):
-                    continue
-                for other, t in sets_:
-                    if linked(overlap(query, t), len(query), len(t), percent):
-                        a.append(key)
-                        b.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return materialise(asked.mapInArrow(search, "a long, b long"), "group_links")
+            for asked, stored in zip(batch.column("asked"), batch.column("members")):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in _links_into(asked.as_py(), stored.as_py(), percent)], names=["a", "b"]
+                )
+
+    return materialise(asked.join(stored, "group").select("asked", "members").mapInArrow(search, "a long, b long"), "group_links")
+
+
+def _links_into(asked: list[dict], members: list[dict], percent: int) -> tuple[list[int], list[int]]:
+    """Similar pairs of the sets that ask and the members of a group, of higher standing."""
+
+    def standing(m: dict) -> tuple[int, int]:
+        return m["standing"]["size"], m["standing"]["name"]
+
+    a, b = [], []
+    sets_ = [np.frombuffer(m["tokens"], np.uint64) for m in members]
+    owner = np.repeat(np.arange(len(sets_)), [len(t) for t in sets_])
+    tokens = np.concatenate(sets_)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    union = np.unique(tokens)
+    for q in asked:
+        query = np.frombuffer(q["tokens"], np.uint64)
+        if 100 * overlap(query, union) < percent * len(query):
+            continue
+        low, high = np.searchsorted(tokens, query, "left"), np.searchsorted(tokens, query, "right")
+        size = high - low
+        hits = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        shared = np.bincount(owner[hits], minlength=len(members))
+        for k, m in enumerate(members):
+            if standing(q) < standing(m) and linked(int(shared[k]), len(query), len(sets_[k]), percent):
+                a.append(q["key"])
+                b.append(m["key"])
+    return a, b
 
 
 def classes_of(links: DataFrame) -> DataFrame:
