@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from bidlens.llm.common import documents, is_held_out, mix, rows_of, text_words
 from bidlens.llm.training import labelled_sample, sampled_texts
 
-TRAINING_ROWS = 5_000  # of each class
+TRAINING_ROWS = 3_000  # of each class
 # Bytes of the word beginnings that are read besides whole words: inflected forms share them.
 PREFIXES = (4, 5, 6, 7)
 MAX_WORDS = 512
@@ -82,7 +82,7 @@ def copy_keys(words: np.ndarray) -> list[int]:
 
 
 def examples(texts: DataFrame, sample: DataFrame):
-    """The sample as pandas: label, weight, the distinct hashes, keys that copies share."""
+    """The sample as an Arrow table by id: label, weight, the distinct hashes, keys that copies share."""
 
     def read(batches):
         for batch in batches:
@@ -96,38 +96,38 @@ def examples(texts: DataFrame, sample: DataFrame):
             )
 
     found = sampled_texts(texts, sample).mapInArrow(read, "doc_id long, label int, weight double, words array<long>, keys array<long>")
-    return found.toPandas().sort_values("doc_id", kind="stable")
+    return found.toArrow().sort_by("doc_id")
 
 
-def without_copies(rows):
+def without_copies(rows: pa.Table) -> pa.Table:
     """Near copies say the same thing again: rows of which two keys came before are left out."""
     seen: set[int] = set()
     kept = []
-    for keys in rows["keys"]:
-        new = set(map(int, keys))
+    for keys in rows.column("keys").to_pylist():
+        new = set(keys)
         kept.append(len(new & seen) < min(2, len(new)))
         seen |= new
-    return rows[kept]
+    return rows.filter(pa.array(kept, pa.bool_()))
 
 
-def fit(rows, groups: list[list[str]] = IDENTITY_GROUPS) -> Model:
+def fit(rows: pa.Table, groups: list[list[str]] = IDENTITY_GROUPS) -> Model:
     """Words with clear evidence of label 1 and all identity terms, weighted by penalised logistic regression.
 
     Beginnings of identity terms are left out: a swap changes the whole word.
     """
     empty = Model(0.0, np.zeros(0, np.uint64), np.zeros(0))
-    if not len(rows):
+    if not rows.num_rows:
         return empty
     rows = without_copies(rows)
-    y = rows["label"].to_numpy(float)
-    weight = rows["weight"].to_numpy(float)
+    y = rows.column("label").to_numpy().astype(float)
+    weight = rows.column("weight").to_numpy()
     prior = (weight @ y + 0.5) / (weight.sum() + 1)
     empty.bias = float(np.log(prior / (1 - prior)))
     if y.min() == y.max():
         return empty
-    lists = [np.asarray(w, np.int64).view(np.uint64) for w in rows["words"]]
-    owner = np.repeat(np.arange(len(lists)), [len(w) for w in lists])
-    flat = np.concatenate(lists)
+    lists = rows.column("words").combine_chunks()
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), lists.value_lengths().to_numpy())
+    flat = lists.flatten().to_numpy().view(np.uint64)
     vocabulary, at = np.unique(flat, return_inverse=True)
     with_word = np.bincount(at, minlength=len(vocabulary))
     toxic = np.bincount(at, y[owner], len(vocabulary))
@@ -144,7 +144,7 @@ def fit(rows, groups: list[list[str]] = IDENTITY_GROUPS) -> Model:
     words = np.union1d(vocabulary[strong], identity)
     column = np.searchsorted(words, flat)
     inside = words[np.minimum(column, len(words) - 1)] == flat
-    x = np.zeros((len(lists), len(words)))
+    x = np.zeros((len(y), len(words)))
     x[owner[inside], column[inside]] = 1
     return Model(*_solve(x, y, weight, _swaps(x, weight, words, groups), words, empty.bias))
 
