@@ -38,7 +38,7 @@ COMMON = 4
 # Common tokens that are sent to all tasks, 12 bytes each; the rarest common ones beyond are
 # treated as uncommon, which changes the work and not the result.
 SENT_COMMON = 1 << 19
-GROUP_SIZE = 128
+GROUP_SIZE = 256
 # Packed tokens a task keeps before it hands them on.
 HELD_TOKENS = 1 << 20
 SEEN_SETS = 1 << 20
