@@ -2,7 +2,9 @@
 
 An item that occurs with at most k edits, cut into k + 1 pieces, has one piece that occurs
 unchanged. Aho-Corasick finds the pieces; around each hit Myers' bit-parallel distance
-decides.
+decides. The same count holds for every run of pieces: of two halves with m and n pieces
+that hold fewer than m + n edits, one holds fewer edits than pieces. So a hit is followed
+from its piece to runs twice as long, and most hits end after a few characters.
 """
 
 from __future__ import annotations
@@ -17,12 +19,11 @@ ERROR_RATE = 0.1
 # Characters of items whose pieces one pass looks for; more items make more passes.
 ITEM_CHARS = 1 << 20
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def fold(text: str) -> str:
     """A-Z as a-z; every character keeps its place."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def cut_item(text: str, budget: int) -> list[tuple[int, str]]:
@@ -31,6 +32,17 @@ def cut_item(text: str, budget: int) -> list[tuple[int, str]]:
     return [(a, text[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
+def runs_above(leaf: int, count: int) -> list[tuple[int, int]]:
+    """Runs of pieces that hold piece ``leaf``, shorter ones first, as halves of halves of all; without all."""
+    low, high, out = 0, count, []
+    while high - low > 1:
+        if (low, high) != (0, count):
+            out.append((low, high))
+        middle = (low + high) // 2
+        low, high = (low, middle) if leaf < middle else (middle, high)
+    return out[::-1]
+
+
 def masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for k, c in enumerate(pattern):
@@ -71,8 +83,13 @@ def find_items(text: str, items: list, pieces: ahocorasick.Automaton) -> list[tu
     folded = fold(text)
     spans: dict[int, list[tuple[int, int]]] = {}
     for end, hits in pieces.iter(folded):
-        for k, offset, size in hits:
+        for k, offset, size, above in hits:
             start = end - size + 1 - offset
+            if not all(
+                myers(part, at, folded[max(0, start + first - edits):start + first + len(part) + edits])[0] <= edits
+                for first, part, at, edits in above
+            ):
+                continue
             spans.setdefault(k, []).append((start - items[k][3], start + len(items[k][1]) + items[k][3]))
     out = []
     for k, found in spans.items():
@@ -108,8 +125,15 @@ def prepared_items(rows: list[tuple[int, str]], rate: float) -> tuple[list, ahoc
         pattern = fold(text)
         budget = int(len(pattern) * rate)
         items.append((item_id, pattern, masks(pattern), budget, pattern[::-1], masks(pattern[::-1])))
-        for offset, piece in cut_item(pattern, budget):
-            pieces.setdefault(piece, []).append((len(items) - 1, offset, len(piece)))
+        cut = cut_item(pattern, budget)
+        parts: dict[tuple[int, int], tuple] = {}
+        for leaf, (offset, piece) in enumerate(cut):
+            above = runs_above(leaf, len(cut))
+            for low, high in above:
+                if (low, high) not in parts:
+                    part = pattern[cut[low][0]:cut[high - 1][0] + len(cut[high - 1][1])]
+                    parts[low, high] = (cut[low][0], part, masks(part), high - low - 1)
+            pieces.setdefault(piece, []).append((len(items) - 1, offset, len(piece), [parts[r] for r in above]))
     automaton = ahocorasick.Automaton()
     for piece, hits in pieces.items():
         automaton.add_word(piece, tuple(hits))
