@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bidlens.llm.common import held_out, let
+from bidlens.session import materialise
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -201,7 +202,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     fail the base; repeated rows are judged each; without labels only the base decides;
     labels other than 0 and 1 are not used.
     """
-    stats = statistics(docs, id_col, text_col)
+    # Thresholds, patterns and the verdict read the statistics, which are costly; numbers only are written.
+    stats = materialise(statistics(docs, id_col, text_col), "statistics")
     rules = learn(stats, labels)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = stats.withColumn("base_failed", failed).withColumn("rule", rule_column(rules))
