@@ -144,8 +144,3 @@ def newest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Last row per key, by a partial aggregate instead of a sort of each group."""
     row = F.struct(*df.columns)
     return df.groupBy(key).agg(F.max_by(row, F.struct(*order)).alias("_row")).select("_row.*")
-
-
-def top_window(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -161,7 +161,6 @@ def canonical_tenders(df: DataFrame, raw_col: str = "raw") -> DataFrame:
 
 
 # Titles read for the typed catalogue.
-_ONLINE = "электронной площадки в информационно-телекоммуникационной сети «Интернет»"
 TYPED_TITLES = {
     "icz": "Идентификационный код закупки (ИКЗ)",
     "object_name": "Наименование объекта закупки",
@@ -183,8 +182,8 @@ TYPED_TITLES = {
     "performance_security_size": "Размер обеспечения исполнения контракта",
     "email": "Адрес электронной почты",
     "phone": "Номер контактного телефона",
-    "electronic_platform_name": f"Наименование {_ONLINE}",
-    "electronic_platform_url": f"Адрес {_ONLINE}",
+    "electronic_platform_name": "Наименование электронной площадки в информационно-телекоммуникационной сети «Интернет»",
+    "electronic_platform_url": "Адрес электронной площадки в информационно-телекоммуникационной сети «Интернет»",
 }
 # Titles read where the first one is empty.
 SECOND_TITLES = {"initial_price": "Максимальное значение цены контракта", "delivery_place": "Место поставки товара"}
