@@ -10,7 +10,7 @@ only the groups that pass this bound are opened and compared member by member. H
 3. All sets are searched, whole: tokens are ordered by how many sets hold them. Before the
    first token that two similar sets share, neither can have more tokens than it may lack
    in the other. Sets are put into groups of bounded size by their most frequent pair of
-   minimum hashes; a set meets the groups of other classes that hold such a token.
+   minimum hashes; groups meet in such a token, and their sets meet the groups so found.
 4. For each candidate the group's token union bounds the overlap; groups that pass are
    opened. Links found here join classes, and a component's name is its smallest doc_id.
 
@@ -321,11 +321,13 @@ def described(rows: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFra
 
 
 def candidate_groups(shared: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(key, standing, group): sets and the groups that may hold a similar set of a larger class.
+    """(key, standing, group, any_class): sets and the groups that may hold a similar set of another class.
 
-    Only sets of different classes matter, and the one of smaller standing looks for the
-    other. Sizes must allow them to be similar, and so must the rank of the token they meet
-    in: what comes before the first shared token is not shared.
+    Only sets of different classes matter. Of two groups the smaller one asks the other for
+    sets of any other class, unless fewer ask if all look for classes of higher standing
+    only: then few members of a large class ask. Sizes must allow them to be similar, and so must the rank of the token they meet
+    in: what comes before the first shared token is not shared. Groups meet groups in a
+    token, so a token that many near copies hold costs pairs of groups, not of sets.
     """
     rows = described(shared, classes, groups)
     n = F.col("n")
@@ -338,16 +340,48 @@ def candidate_groups(shared: DataFrame, classes: DataFrame, groups: DataFrame, p
         F.min("standing.name").alias("_a"), F.max("standing.name").alias("_b"), F.max(F.col("rank") <= most_before(n, n)).alias("_early")
     ).filter((F.col("_a") != F.col("_b")) & F.col("_early"))
     rows = materialise(rows.join(mixed.select("token"), "token"), "mixed")
-    # Of the members that hold the token: sizes, the smallest rank, the highest standing.
+    # Of the members that hold the token: sizes, the smallest rank, the standings.
     held = rows.groupBy("token", F.col("group").alias("g")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("rank").alias("g_rank"), F.max("standing").alias("top"),
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("rank").alias("rank"),
+        F.min("standing").alias("bottom"), F.max("standing").alias("top"),
     )
-    least = F.greatest("low", F.ceil(percent * n / 100))
-    most = F.least("high", F.floor(100 * n / F.lit(percent)))
-    meets = (least <= most) & (F.col("rank") <= most_before(n, least)) & (F.col("g_rank") <= most_before(most, n))
-    return rows.join(held, "token").filter((F.col("standing") < F.col("top")) & meets).select(
-        "key", "standing", F.col("g").alias("group")
+    asking = held.select("token", F.struct("g", "low", "high", "rank", "bottom", "top").alias("q"))
+    least, most = _reach(F.col("q.low"), F.col("q.high"), percent)
+    shortest = F.greatest("q.low", F.ceil(percent * F.col("low") / 100))
+    meets = (least <= most) & (F.col("q.rank") <= most_before(F.col("q.high"), least)) & (F.col("rank") <= most_before(most, shortest))
+    differ = (F.col("q.bottom") < F.col("top")) | (F.col("bottom") < F.col("q.top"))
+    pairs = asking.join(held, "token").filter((F.col("q.g") <= F.col("g")) & differ & meets).select(
+        F.col("q.g").alias("a"), F.col("g").alias("b")
     ).distinct()
+    asks = rows.select("key", "n", "standing", F.col("group").alias("_from")).distinct()
+    # Of a group: its class of highest standing, and how many members are of others.
+    span = asks.groupBy("_from", "standing").agg(F.count(F.lit(1)).alias("_n"), F.min("n").alias("low"), F.max("n").alias("high"))
+    span = span.groupBy("_from").agg(
+        F.sum("_n").alias("size"), F.max(F.struct("standing", "_n")).alias("_t"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min("standing").alias("bottom"),
+    ).select("_from", "size", (F.col("size") - F.col("_t._n")).alias("others"), "low", "high", "bottom", F.col("_t.standing").alias("top"))
+    span = materialise(span, "spans")
+    for side in ("a", "b"):
+        pairs = pairs.join(span.select(F.col("_from").alias(side), F.struct(F.col("_from").alias("group"), *span.columns[1:]).alias(f"_{side}")), side)
+    down = [F.when(F.col(f"{x}.top") < F.col(f"{y}.top"), F.col(f"{x}.size")).otherwise(F.col(f"{x}.others")) for x, y in (("_a", "_b"), ("_b", "_a"))]
+    whole = (F.col("a") != F.col("b")) & (F.least("_a.size", "_b.size") < down[0] + down[1])
+
+    def way(x: str, y: str, any_class: bool) -> Column:
+        return F.struct(F.col(f"{x}.group").alias("_from"), F.col(y).alias("to"), F.lit(any_class).alias("any_class"))
+
+    ways = F.when(whole, F.array(F.when(F.col("_a.size") <= F.col("_b.size"), way("_a", "_b", True)).otherwise(way("_b", "_a", True)))).when(
+        F.col("a") == F.col("b"), F.array(way("_a", "_b", False))
+    ).otherwise(F.array(way("_a", "_b", False), way("_b", "_a", False)))
+    ways = pairs.select(F.explode(ways).alias("_w")).select("_w._from", "_w.to.*", "_w.any_class")
+    least, most = _reach(n, n, percent)
+    below = F.col("standing") < F.col("top")
+    wanted = below | (F.col("any_class") & (F.col("bottom") < F.col("standing")))
+    return asks.join(ways.drop("size", "others"), "_from").filter(wanted & (least <= most)).select("key", "standing", "group", "any_class")
+
+
+def _reach(low: Column, high: Column, percent: int) -> tuple[Column, Column]:
+    """Of the sizes ``low`` to ``high`` of a group, those that sets of the given sizes can be similar to."""
+    return F.greatest("low", F.ceil(percent * low / 100)), F.least("high", F.floor(100 * high / F.lit(percent)))
 
 
 def group_links(texts: DataFrame, sketched: DataFrame, shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -364,7 +398,7 @@ def group_links(texts: DataFrame, sketched: DataFrame, shared: DataFrame, classe
     # About GROUP_SIZE sets in a group, and as many that ask in a row; a group that many ask has many rows.
     stored = members.join(sets, "key").groupBy("group").agg(F.collect_list(F.struct("key", "standing", "tokens")).alias("members"))
     salted = candidates.join(opened, "group").withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("_asked") / GROUP_SIZE)))
-    asked = salted.join(sets, "key").groupBy("group", "part").agg(F.collect_list(F.struct("key", "standing", "tokens")).alias("asked"))
+    asked = salted.join(sets, "key").groupBy("group", "part").agg(F.collect_list(F.struct("key", "standing", "any_class", "tokens")).alias("asked"))
 
     def search(batches):
         for batch in batches:
@@ -377,7 +411,7 @@ def group_links(texts: DataFrame, sketched: DataFrame, shared: DataFrame, classe
 
 
 def _links_into(asked: list[dict], members: list[dict], percent: int) -> tuple[list[int], list[int]]:
-    """Similar pairs of the sets that ask and the members of a group, of higher standing."""
+    """Similar pairs of the sets that ask and the members of a group, of another class or, unless asked for any, of higher standing."""
 
     def standing(m: dict) -> tuple[int, int]:
         return m["standing"]["size"], m["standing"]["name"]
@@ -398,7 +432,7 @@ def _links_into(asked: list[dict], members: list[dict], percent: int) -> tuple[l
         hits = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         shared = np.bincount(owner[hits], minlength=len(members))
         for k, m in enumerate(members):
-            if standing(q) < standing(m) and linked(int(shared[k]), len(query), len(sets_[k]), percent):
+            if (standing(q) < standing(m) or q["any_class"] and standing(m) < standing(q)) and linked(int(shared[k]), len(query), len(sets_[k]), percent):
                 a.append(q["key"])
                 b.append(m["key"])
     return a, b
