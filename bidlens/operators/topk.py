@@ -62,7 +62,10 @@ class _Running:
         span = slice(first_query, first_query + t)
         self.worst[span] = np.minimum(self.worst[span], scores.min(axis=0))
         if self.exclude_self:
-            scores = np.where(ids[:, None] == self.qids[None, span], -np.inf, scores)
+            same = ids[:, None] == self.qids[None, span]
+            if ids.dtype.kind == "U":  # two rows without an id are not one row
+                same &= (ids != "")[:, None]
+            scores = np.where(same, -np.inf, scores)
         if n > self.k:
             cut = np.partition(scores, n - self.k, axis=0)[n - self.k]
             rows, cols = np.nonzero((scores >= cut) & (scores > -np.inf))

@@ -52,9 +52,9 @@ def priced_neighbours(
     candidates: DataFrame, targets: DataFrame, k: int, weights: Mapping[str, float] | None = None,
     districts: Groups | None = None, method_groups: Groups | None = None,
 ) -> DataFrame:
-    """(target_id, tender_id, score, rank, price): winners with a positive price or null."""
+    """(target_id, tender_id, score, rank, price): winners with the price they state or null."""
     found = composite_topk(candidates, targets, k, weights, 0.0, districts, method_groups)
-    prices = candidates.select("tender_id", F.when(F.col("price") > 0, F.col("price")).alias("price"))
+    prices = candidates.select("tender_id", F.col("offer_price").alias("price"))
     return prices.join(hits_side(found, targets, k), "tender_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bidlens.functions.dates import date_features, parse_date, parse_datetime, parse_day
-from bidlens.functions.numbers import parse_number, parse_price
+from bidlens.functions.numbers import extract_price, parse_number, parse_price
 from bidlens.functions.text import clean_phone, clean_text, strip
 from bidlens.schema import (
     CATEGORICAL_FIELDS, DATE_FIELDS, NUMERIC_FIELDS, RAW_TITLES, TEXT_FIELDS, TITLE_ALIASES,
@@ -14,9 +14,12 @@ from bidlens.session import spread
 
 PREPARED = [
     "tender_id", "title", "description", "customer", "region", "method", "price", "published",
-    "currency", "funding", "status", "platform",
+    "currency", "funding", "status", "platform", "offer_price",
 ]
 
+# Fields that may state a price, the one asked first in front.
+PRICE_TEXTS = ("price_text", "starting_price_text", "highest_price_text", "contract_price_text")
+
 
 def preprocess(df: DataFrame, with_features: bool = True) -> DataFrame:
     """Add cleaned, parsed and calendar columns for every known field the table has."""
@@ -41,7 +44,11 @@ def preprocess(df: DataFrame, with_features: bool = True) -> DataFrame:
 
 
 def prepared(df: DataFrame) -> DataFrame:
-    """The columns scoring needs: cleaned texts, parsed price and date, plain categories."""
+    """The columns scoring needs: cleaned texts, parsed price and date, plain categories.
+
+    ``price`` is the number that is compared; ``offer_price`` is the first positive price
+    of ``PRICE_TEXTS`` in either decimal convention, or null, and is what is predicted.
+    """
     def text(name: str) -> Column:
         return clean_text(F.col(name)) if name in df.columns else F.lit("")
 
@@ -49,6 +56,8 @@ def prepared(df: DataFrame) -> DataFrame:
         return F.coalesce(F.col(name), F.lit("")) if name in df.columns else F.lit("")
 
     price = parse_number(F.col("price_text")) if "price_text" in df.columns else F.lit(0.0)
+    stated = [F.col(c) for c in PRICE_TEXTS if c in df.columns]
+    offer = extract_price(*stated) if stated else F.lit(None).cast("double")
     published = parse_date(F.col("published_text")) if "published_text" in df.columns else F.lit(None).cast("timestamp")
     keep = [c for c in df.columns if c not in PREPARED and not c.endswith("_text")]
     return df.select(
@@ -56,7 +65,7 @@ def prepared(df: DataFrame) -> DataFrame:
         plain("tender_id").alias("tender_id"),
         text("title").alias("title"), text("description").alias("description"), text("customer").alias("customer"),
         plain("region").alias("region"), plain("method").alias("method"),
-        price.alias("price"), published.alias("published"),
+        price.alias("price"), offer.alias("offer_price"), published.alias("published"),
         *[plain(n).alias(n) for n in ("currency", "funding", "status", "platform")],
     )
 

@@ -123,3 +123,19 @@ def test_targets_beyond_the_broadcast_bound_meet_in_blocks(spark, tenders, monke
     monkeypatch.setattr(module, "bounded_rows", lambda df: None)
     got = composite_topk(tenders, tenders, 3).orderBy("target_id", "rank").collect()
     assert got == want
+
+
+def test_candidates_without_id_are_not_the_target(spark):
+    names = ["tender_id", "title"]
+    pool = prepared(spark.createDataFrame([("", "red ring"), ("", "blue ring"), ("X", "red ring")], names))
+    lone, known = (prepared(spark.createDataFrame([(i, "red ring")], names)) for i in ("", "X"))
+    assert sorted(r.tender_id for r in composite_topk(pool, lone, 5).collect()) == ["", "", "X"]
+    assert sorted(r.tender_id for r in composite_topk(pool, known, 5).collect()) == ["", ""]
+
+
+def test_neighbours_state_prices_in_both_conventions_and_in_later_fields(spark):
+    names = ["tender_id", "title", "price_text", "contract_price_text"]
+    rows = [("a", "red ring", "1.250.000,00", ""), ("b", "red ring", "1,250.50", "7"), ("c", "red ring", None, "1 000,5"), ("d", "red ring", "0", "")]
+    target = prepared(spark.createDataFrame([("t", "red ring", "", "")], names))
+    found = search.priced_neighbours(prepared(spark.createDataFrame(rows, names)), target, 4)
+    assert {r.tender_id: r.price for r in found.collect()} == {"a": 1250000.0, "b": 1250.5, "c": 1000.5, "d": None}
