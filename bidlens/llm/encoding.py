@@ -18,6 +18,9 @@ LONG_TEXT = 1 << 16
 # A space inside or at the end of a longer run of white space is no safe place to cut.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _SAFE_CUT = re.compile(r"(?<=\S)(?=\s)")
+# tiktoken panics where some million white spaces stand together; the tokenizers library takes them.
+LONG_SPACE = 1 << 16
+_LONG_SPACE = re.compile(r"(?<!\s)\s{%d}" % LONG_SPACE)
 _encoders: dict = {}
 
 
@@ -52,9 +55,11 @@ class PieceEncoder:
             specials = [t["content"] for t in rules["added_tokens"]]
             if ranks := merge_ranks(rules):
                 ordinary, by_library = ranks.encode_ordinary, self.encode
-                self.encode = lambda texts: [
-                    by_library([t])[0] if any(s in t for s in specials) else ordinary(t) for t in texts
-                ]
+
+                def beyond(text: str) -> bool:
+                    return len(text) >= LONG_SPACE and bool(_LONG_SPACE.search(text)) or any(s in text for s in specials)
+
+                self.encode = lambda texts: [by_library([t])[0] if beyond(t) else ordinary(t) for t in texts]
             # Only where cutting before white space is known to be exact.
             self.cut = (
                 split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]

@@ -86,6 +86,13 @@ def test_long_text_is_cut_where_no_token_spans(tokenizer):
     assert [i for p in parts for i in tokenizer.encode(p).ids] == tokenizer.encode(text).ids
 
 
+@pytest.mark.parametrize("space", [" ", "\n"])
+def test_token_counts_of_millions_of_white_spaces(spark, tokenizer, space):
+    rows = [(0, "some words" + space * 2_000_000 + "more words"), (1, space * 40_000 + "a b" + space * 70_000)]
+    got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {k: len(tokenizer.encode(t, add_special_tokens=False).ids) for k, t in rows}
+
+
 def test_token_counts_with_sentence_pieces(spark, odd):
     import public_tokenizers
     import sentencepiece
