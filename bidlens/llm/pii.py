@@ -31,7 +31,7 @@ _NEEDED = {
     "card": lambda t, digit: digit & t.rlike("[0-9](?:[\\x20-]?[0-9]){13}"), "phone": lambda t, digit: digit & t.contains("+"),
 }
 # Candidates by kind; the first that matches at a place is taken. They are looked for in texts
-# with two digits in a row or a spelled dot.
+# with two digits in a row, a spelled dot or a run as long as a secret: each pattern implies one.
 LOOSE = {
     "spelled_email": "(?<![A-Za-z0-9._])[A-Za-z0-9._]{2,64}+\\x20[\\[(]?at[\\])]?\\x20[A-Za-z0-9-]{2,64}+\\x20[\\[(]?dot[\\])]?\\x20[A-Za-z]{2,10}(?![A-Za-z])",
     "national_id": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -127,7 +127,7 @@ def base_spans(text: Column, kind: str, digit: Column) -> Column:
 def candidates(text: Column, digit: Column) -> Column:
     """Spans of the loose patterns with their kind, the text before and the character after."""
     pattern = "|".join(LOOSE.values())
-    needed = digit & text.rlike("[0-9]{2}") | text.rlike("\\x20[\\[(]?dot[\\])]?\\x20")
+    needed = digit & text.rlike("[0-9]{2}") | text.rlike("\\x20[\\[(]?dot[\\])]?\\x20") | text.rlike("[A-Za-z0-9_+/=-]{20}")
 
     def described(s: Column) -> Column:
         kind = F.lit("secret")

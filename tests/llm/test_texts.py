@@ -242,6 +242,17 @@ def test_personal_data_adds_secrets_and_no_plain_words(spark, sf):
     assert all(re.search("[0-9]", a) for a in added)
 
 
+def test_personal_data_adds_secrets_without_two_digits_in_a_row(spark):
+    rng = np.random.default_rng(5)
+
+    def secret():
+        return "".join(f"{chr(97 + rng.integers(26))}{rng.integers(10)}" for _ in range(14))
+
+    rows = [(k, f'note\nkey = "{secret()}"\nend') for k in range(30)] + [(30 + k, "plain words only " * 9) for k in range(5)]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: "secret:12:40" if k < 30 else "" for k, _ in rows}
+
+
 # Toxicity and quality
 
 
