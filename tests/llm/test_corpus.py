@@ -241,6 +241,16 @@ def test_pipeline(spark, sf):
     assert sorted(map(tuple, whole.select(*columns).collect())) == sorted(map(tuple, now.select(*columns).collect()))
 
 
+def test_line_stage_keeps_short_lines_of_a_document_with_a_repeated_one(spark):
+    head = "The same long licence line stands in each of these documents."
+    short = ["\n".join(f"{word} {k}" for k in range(300)) for word in ("item", "諸行無常", "été")]
+    rows = [(0, head + "\n" + short[0]), (1, head + "\n" + short[1]), (2, head + "\n\n" + short[2]), (3, head), (4, head + "\n--\n * ")]
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    left = {0: rows[0][1], 1: short[1], 2: "\n" + short[2]}
+    assert got == {k: (t, len(t)) for k, t in left.items()}
+
+
 def test_pipeline_of_an_empty_table(spark, sf):
     now = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
