@@ -224,6 +224,61 @@ def test_lines_that_meet_are_all_near_lines(spark):
     assert found == want and want
 
 
+def test_long_lines_with_an_exchanged_word_are_near(spark, monkeypatch):
+    """One edit for each 20 characters, counted here: pairs at the budget, beyond it, and edits at equal distances."""
+    rng = random.Random(23)
+    lines = []
+    for n in (45, 59, 60, 61, 79, 80, 120, 179, 180, 181, 187, 188, 300, 700):
+        for _ in range(4):
+            base = [rng.choice("abcdefghij klmnopqé") for _ in range(n - 2)]
+            base = ["x", *base, "x"]
+            for edits in (0, n // 20 - 1, n // 20, n // 20 + 1):
+                y = list(base)
+                for k in range(edits):
+                    at = (k + 1) * n // (edits + 1) - 1
+                    y[at] = rng.choice(["", "Z", y[at] + "Z"])
+                lines.append("".join(y))
+            at = rng.randrange(1, n - 9)
+            lines.append("".join([*base[:at], "W" * (n // 20), *base[at + n // 20:]]))
+    lines += ["-" * n for n in (60, 61, 63, 64, 200, 209, 3000, 3150)]
+    lines = sorted(set(lines))
+    want = {
+        (a, b) for i, a in enumerate(lines) for b in lines[i + 1:]
+        if abs(len(a) - len(b)) <= min(len(a), len(b)) // 20 and plain_near(a, b, min(len(a), len(b)) // 20)
+    }
+    texts = documents(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    names = dict(zip(line_dedup.Hashed(lines).keys().tolist(), lines))
+    for chars in (line_dedup.CLASS_CHARS, 2000):
+        monkeypatch.setattr(line_dedup, "CLASS_CHARS", chars)
+        got = line_dedup.near_lines(texts, line_dedup.line_places(texts), 8).collect()
+        assert {tuple(sorted((names[r["a"]], names[r["b"]]))) for r in got} == want
+    assert sum(len(a) > 100 for a, _ in want) > 50
+
+
+def plain_near(a, b, limit):
+    """Whether at most ``limit`` edits part a and b, by a table whose cells are near the diagonal."""
+    far, row = limit + 1, {j: j for j in range(min(limit, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        now = {}
+        for j in range(max(0, i - limit), min(len(b), i + limit) + 1):
+            best = min(row.get(j, far) + 1, now.get(j - 1, far) + 1)
+            now[j] = min(best, row.get(j - 1, far) + (x != b[j - 1])) if j else min(best, i)
+        row = now
+        if min(row.values()) > limit:
+            return False
+    return row.get(len(b), far) <= limit
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abc", max_size=40), st.lists(st.tuples(st.integers(0, 40), st.sampled_from(["", "a", "d", "dd"])), max_size=9), st.integers(0, 9))
+def test_distance_by_fronts(a, edits, limit):
+    b = list(a)
+    for at, new in edits:
+        b[at:at + 1] = new
+    b = "".join(b)
+    assert line_dedup.distance_by_fronts(a, b, limit) == min(plain_whole(a, b), limit + 1)
+
+
 # Pipeline
 
 
