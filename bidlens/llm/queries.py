@@ -5,8 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bidlens.llm import decontaminate, jaccard_join, licenses, line_dedup, packing, pii, quality_ordinal, rule_lists, token_counts, toxicity
+from bidlens.llm import (
+    conversation_repair, decontaminate, jaccard_join, licenses, line_dedup, merkle, packing, pii, quality_ordinal, rule_lists, token_counts, token_files, toxicity,
+)
 from bidlens.llm.common import table
+from bidlens.llm.sql import OP12_SQL, OP13_SQL
+from bidlens.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -51,6 +55,21 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token_files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, VOCABULARY)
+    return token_files.read_back(spark, path)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversations, conversation_repair.damaged(conversations))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.without_newlines(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -62,6 +81,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_files": op11_token_files,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 # Shingles, links by counted overlaps, and the smallest id that links reach.
@@ -90,4 +112,8 @@ SELECT s.doc_id, len(s.set_) AS n_shingles, coalesce(c.component_id, s.doc_id) A
 FROM s LEFT JOIN c ON s.doc_id = c.node
 """
 
-ORACLE: dict[str, str] = {"op6_ngram_jaccard_join": OP6_SQL}
+ORACLE: dict[str, str] = {
+    "op6_ngram_jaccard_join": OP6_SQL,
+    "op12_conversation_repair": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
+}
