@@ -12,6 +12,10 @@ import os
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # Pieces kept in each of two generations, per worker.
 KEPT_PIECES = 250_000
 LONG_TEXT = 1 << 16
@@ -35,7 +39,7 @@ class PieceEncoder:
     def __init__(self, path: str, value: Callable[[list[int]], object]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.value, self.young, self.old, self.heads = value, {}, {}, {}
-        self.cut = False
+        self.cut, self.ranks = False, None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -53,13 +57,14 @@ class PieceEncoder:
             rules = json.loads(tokenizer.to_str())
             split = rules["pre_tokenizer"] or {}
             specials = [t["content"] for t in rules["added_tokens"]]
-            if ranks := merge_ranks(rules):
-                ordinary, by_library = ranks.encode_ordinary, self.encode
+            self.ranks = merge_ranks(rules)
+            if self.ranks:
+                ordinary, by_library = self.ranks.encode_ordinary, self.encode
 
                 def beyond(text: str) -> bool:
                     return len(text) >= LONG_SPACE and bool(_LONG_SPACE.search(text)) or any(s in text for s in specials)
 
-                self.encode = lambda texts: [by_library([t])[0] if beyond(t) else ordinary(t) for t in texts]
+                self.encode, self.beyond = lambda texts: [by_library([t])[0] if beyond(t) else ordinary(t) for t in texts], beyond
             # Only where cutting before white space is known to be exact.
             self.cut = (
                 split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
@@ -102,6 +107,93 @@ class PieceEncoder:
         self.young.update(zip(new, map(self.value, self.encode([" " + p for p in new]))))
 
 
+class FlatEncoder:
+    """Ids of many texts as one array: pieces are told apart and put together by Arrow and numpy.
+
+    New pieces are encoded in one call; the bytes of each token tell where a piece's ids end.
+    """
+
+    def __init__(self, path: str):
+        self.pieces = encoder(path, lambda ids: np.asarray(ids, "<u4").tobytes(), "ids")
+        self.vectors = self.pieces.cut and self.pieces.ranks is not None
+        if self.vectors:
+            tokens = {self.pieces.ranks.encode_single_token(b): len(b) for b in self.pieces.ranks.token_byte_values()}
+            self.bytes_of = np.zeros(max(tokens) + 1, np.int64)
+            self.bytes_of[list(tokens)] = list(tokens.values())
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.heads: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.ends = np.zeros(1 << 14, np.int64)
+        self.n = 0
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, how many of them each text has)."""
+        if not self.vectors or any(map(_UNSAFE.search, texts)):
+            rows = [b"".join(v) for v in self.pieces.values(texts)]
+            return np.frombuffer(b"".join(rows), "<i4"), np.array([len(r) // 4 for r in rows], np.int64)
+        if self.n > 2 * KEPT_PIECES:
+            self._clear()
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        starts = split.offsets.to_numpy()[:-1]
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._learn([w for w in words if w not in self.known], self.known, " ")
+        places = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        heads = [t.partition(" ")[0] for t in texts]
+        self._learn(list(dict.fromkeys(h for h in heads if h not in self.heads)), self.heads, "")
+        places[starts] = np.fromiter(map(self.heads.__getitem__, heads), np.int64, len(heads))
+        begin, end = self.ends[places], self.ends[places + 1]
+        lengths = end - begin
+        totals = np.add.reduceat(lengths, starts) if len(starts) else lengths
+        # Each place's ids are a run in the store: its first index, then steps of one.
+        filled = lengths > 0
+        begin, lengths = begin[filled], lengths[filled]
+        if not len(begin):
+            return np.zeros(0, np.int32), totals
+        steps = np.ones(int(lengths.sum()), np.int64)
+        at = np.cumsum(lengths)[:-1]
+        steps[0] = begin[0]
+        steps[at] = begin[1:] - (begin[:-1] + lengths[:-1] - 1)
+        return self.ids[np.cumsum(steps)], totals
+
+    def _learn(self, new: list[str], known: dict[str, int], space: str) -> None:
+        """Ids of new pieces go to the end of the store."""
+        plain = [w for w in new if w and w == w.strip()] if space else []
+        joined = "".join([space + w for w in plain])
+        if not plain or self.pieces.beyond(joined):
+            plain = []
+        else:
+            ids = np.array(self.pieces.ranks.encode_ordinary(joined), np.int64)
+            sizes = np.fromiter((len(w.encode()) + 1 for w in plain), np.int64, len(plain))
+            self._keep(plain, known, ids, np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes)) + 1)
+        rest = [w for w in new if w not in known] if len(plain) < len(new) else []
+        if rest:
+            rows = self.pieces.encode([space + w for w in rest])
+            self._keep(rest, known, np.array([i for r in rows for i in r], np.int64), np.cumsum([len(r) for r in rows]))
+
+    def _keep(self, words: list[str], known: dict[str, int], ids: np.ndarray, ends: np.ndarray) -> None:
+        """``ends``: where in ``ids`` each word's ids end. ``self.ends[k]`` is where the k-th piece begins in the store."""
+        base = int(self.ends[self.n])
+        while base + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while self.n + len(words) + 1 > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.ids[base:base + len(ids)] = ids
+        known.update(zip(words, range(self.n, self.n + len(words))))
+        self.ends[self.n + 1:self.n + 1 + len(words)] = base + ends
+        self.n += len(words)
+
+
+def flat_encoder(path: str) -> FlatEncoder:
+    """The worker's flat encoder of a vocabulary file."""
+    if (path, "flat") not in _encoders:
+        _encoders[path, "flat"] = FlatEncoder(path)
+    return _encoders[path, "flat"]
+
+
 def merge_ranks(rules: dict):
     """The same vocabulary for tiktoken, whose merges go by token id, or None where that is another order.
 

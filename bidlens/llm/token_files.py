@@ -19,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from bidlens.llm.common import documents, rows_of
-from bidlens.llm.encoding import encoder
+from bidlens.llm.encoding import flat_encoder
 
 ROW_GROUP_BYTES = 32 << 20
+ROW_GROUP_ROWS = 1 << 17
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
+# Characters that are encoded at a time.
+TEXT_BATCH = 1 << 21
 # Where rows without an id stand: before all others.
 BEFORE_ALL = -(1 << 63)
 ROWS = "shard int, doc_id long, n_tokens long, checksum long, ids array<int>"
@@ -39,26 +42,30 @@ def shard_bounds(docs: DataFrame, shards: int) -> np.ndarray:
     return np.asarray(found or [], np.int64)
 
 
+def checksums(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """crc32 of each run of ids as little-endian 32-bit integers."""
+    data = memoryview(np.ascontiguousarray(tokens)).cast("B")
+    return np.fromiter((zlib.crc32(data[4 * a:4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())), np.int64, len(offsets) - 1)
+
+
 def encoded(docs: DataFrame, vocabulary: str, bounds: np.ndarray, end_id: int) -> DataFrame:
     """``ROWS`` of every document, not yet in order; each text is encoded once."""
     shared = docs.sparkSession.sparkContext.broadcast(bounds)
 
     def encode(batches):
-        packed = encoder(vocabulary, lambda ids: np.asarray(ids, "<u4").tobytes(), "ids")
-        edges, end, seen = shared.value, int(end_id).to_bytes(4, "little"), 0
-        for ids, texts in rows_of(batches):
-            rows = [b"".join(v) + end for v in packed.values(texts)]
+        flat, edges, seen = flat_encoder(vocabulary), shared.value, 0
+        for ids, texts in rows_of(batches, TEXT_BATCH):
+            tokens, lengths = flat.encode(texts)
+            tokens = np.insert(tokens, np.cumsum(lengths), end_id).astype("<i4", copy=False)
+            offsets = np.concatenate(([0], np.cumsum(lengths + 1)))
             keys = np.array([BEFORE_ALL if k is None else k for k in ids], np.int64)
             low, high = np.searchsorted(edges, keys, "left"), np.searchsorted(edges, keys, "right")
             # Only an id that fills whole shards is dealt over them, row by row.
             dealt = low + np.where(high - low > 1, np.arange(seen, seen + len(ids)) % np.maximum(high - low, 1), 0)
             seen += len(ids)
-            lengths = np.array([len(r) // 4 for r in rows], np.int64)
-            offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(rows), "<i4"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(dealt.astype(np.int32)), pa.array(ids, pa.int64()), pa.array(lengths),
-                 pa.array([zlib.crc32(r) for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                [pa.array(dealt.astype(np.int32)), pa.array(ids, pa.int64()), pa.array(lengths + 1), pa.array(checksums(tokens, offsets)),
+                 pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens))],
                 names=["shard", "doc_id", "n_tokens", "checksum", "ids"],
             )
 
@@ -67,7 +74,7 @@ def encoded(docs: DataFrame, vocabulary: str, bounds: np.ndarray, end_id: int) -
 
 def write_tokens(
     docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shards: int | None = None, encoding: str = "dictionary",
-    row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS,
+    row_group_bytes: int = ROW_GROUP_BYTES, row_group_rows: int = ROW_GROUP_ROWS, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> None:
     """Encode every whole text, append ``end_id`` and write the ids below ``path`` in ascending doc_id order.
@@ -91,6 +98,7 @@ def write_tokens(
         "compression": "zstd",
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.block.size": row_group_bytes,
+        "parquet.block.row.count.limit": row_group_rows,
         "parquet.page.size": page_bytes,
         "parquet.page.row.count.limit": page_rows,
         "parquet.enable.dictionary": "true",
@@ -168,10 +176,8 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     def summed(batches):
         for batch in batches:
             ids = batch.column(5)
-            data = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False))).cast("B")
             edges = ids.offsets.to_numpy().astype(np.int64)
-            lengths = np.diff(edges)
-            sums = np.fromiter((zlib.crc32(data[4 * a:4 * b]) for a, b in zip(edges[:-1], edges[1:])), np.int64, len(lengths))
+            lengths, sums = np.diff(edges), checksums(ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), edges)
             intact = (lengths == batch.column(3).to_numpy()) & (sums == batch.column(4).to_numpy())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(lengths, pa.int64()), pa.array(sums), pa.array(intact)],
