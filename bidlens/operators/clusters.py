@@ -1,7 +1,9 @@
-"""Cluster summaries and density clustering over a neighbour graph."""
+"""Cluster summaries, connected components, core distances."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from bidlens.functions.vectors import doubles, l2_distance
@@ -88,7 +90,7 @@ def describe(rows: DataFrame, label_col: str = "label", vec_col: str = "vec", na
     return said.select(label_col, F.when(more > 0, F.concat(head, tail)).otherwise(head).alias("description"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, component): smallest node id that can be reached.
 
     A round offers the smallest label around a node to the node and to the node
@@ -99,7 +101,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialise(both, "edges")
     labels = nodes.select("id", F.col("id").alias("component"))
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         there = labels.select(F.col("id").alias("b"), F.col("component").alias("_offer"))
         near = both.join(there, "b").groupBy("a").agg(F.min("_offer").alias("_offer"))
         offers = labels.join(near, F.col("id") == F.col("a")).select(
@@ -129,33 +131,6 @@ def core_distances(graph: DataFrame, min_samples: int, id_col: str = "id") -> Da
     return graph.filter(F.col("rank") == min_samples).select(F.col(id_col).alias("_id"), F.col("distance").alias("core"))
 
 
-def density_clusters(
-    rows: DataFrame, epsilon: float, min_samples: int = 5, min_cluster_size: int = 5, neighbours: int | None = None,
-    id_col: str = "id", vec_col: str = "vec", graph: DataFrame | None = None,
-) -> DataFrame:
-    """(id, label): density clusters, -1 for noise, labels numbered by first member.
-
-    The graph links a row to its nearest ``neighbours`` rows where the mutual
-    reachability distance (the larger of both core distances and their distance)
-    is at most ``epsilon``; it has at most n x neighbours edges.
-    """
-    if graph is None:
-        graph = neighbour_graph(rows, max(neighbours or min_samples, min_samples), id_col, vec_col)
-    dense = core_distances(graph, min_samples, id_col).filter(F.col("core") <= epsilon)
-    links = (
-        graph.filter(F.col("distance") <= epsilon)
-        .join(dense.select(F.col("_id").alias("_a")), F.col(id_col) == F.col("_a"), "left_semi")
-        .join(dense.select(F.col("_id").alias("_b")), F.col("neighbour") == F.col("_b"), "left_semi")
-        .select(F.col(id_col).alias("a"), F.col("neighbour").alias("b"))
-    )
-    found = connected_components(dense.select(F.col("_id").alias("id")), links)
-    big = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_cluster_size)
-    member = found.join(big.select("component"), "component").select(F.col("id").alias("_id"), F.col("component").alias("_label"))
-    return rows.select(id_col).join(member, F.col(id_col) == F.col("_id"), "left").select(
-        id_col, F.coalesce(F.col("_label"), F.lit(-1)).alias("label")
-    )
-
-
 def label_report(rows: DataFrame, label_col: str, vec_col: str) -> DataFrame:
     """One row: rows, clusters, noise rows, vector width."""
     real = F.when(F.col(label_col) != -1, F.col(label_col))

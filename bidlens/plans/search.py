@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from bidlens.functions.dates import date_features, temporal_vector
 from bidlens.functions.vectors import fuse
-from bidlens.operators import clusters, index, metric, pairs, price
+from bidlens.operators import clusters, density, index, metric, pairs, price
 from bidlens.operators.catalog import apply_filters, post_filter
 from bidlens.operators.composite import Groups, composite_topk, with_breakdown
 from bidlens.operators.features import OneHot, hashed_words, pca_reduce, scaling as feature_scaling
@@ -157,7 +157,7 @@ def train(
     graph = clusters.neighbour_graph(reduced, min_cluster_size)
     if epsilon is None:
         epsilon = typical_reach(graph, min_cluster_size)
-    labels = clusters.density_clusters(reduced, epsilon, min_cluster_size, min_cluster_size, graph=graph)
+    labels = density.density_clusters(reduced, epsilon, min_cluster_size, min_cluster_size)
     labelled = materialise(reduced.join(labels, "id"), "labelled")
     if not keep_noise and labelled.filter("label != -1").limit(1).count():
         labelled = materialise(assign_outliers(labelled), "labelled")

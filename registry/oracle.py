@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bidlens.schema import STOP_WORDS
-from registry.queries import DENSITY_EPSILON, PAGE_INFO, PAGE_SECTION, PAGE_TITLE
+from registry.queries import PAGE_INFO, PAGE_SECTION, PAGE_TITLE
 
 ORACLE: dict[str, str] = {}
 
@@ -589,13 +589,11 @@ ORACLE["predict_cluster"] = f"""WITH {VEC}, {cents()}, d AS (SELECT id, k.label,
   row_number() OVER (PARTITION BY id ORDER BY {r6('list_distance(vec, c)')}, k.label) AS rn FROM vecs, cents k) SELECT id, label, distance FROM d WHERE rn = 1"""
 ORACLE["model_report"] = f"""WITH {NOISY} SELECT count(*) AS n_rows, count(DISTINCT CASE WHEN label <> -1 THEN label END) AS n_clusters,
   count(*) FILTER (label = -1) AS n_outliers, max(len(vec))::INTEGER AS embedding_dim FROM rows_"""
-ORACLE["density_clusters"] = f"""WITH RECURSIVE {VEC}, {ALL_Q},
-hits AS MATERIALIZED (SELECT q.query_id, b.id, {r6('list_distance(q.query_vec, b.vec)')} AS d FROM asked q, vecs b WHERE q.query_id <> b.id),
-near AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM hits
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) <= 3),
-dense AS MATERIALIZED (SELECT query_id AS id FROM near WHERE rank = 3 AND d <= {DENSITY_EPSILON}),
-links AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT query_id AS a, id AS b FROM near WHERE d <= {DENSITY_EPSILON} UNION ALL
-  SELECT id, query_id FROM near WHERE d <= {DENSITY_EPSILON}) WHERE a IN (SELECT id FROM dense) AND b IN (SELECT id FROM dense)),
+# All pairs within the radius; a row is dense with three others there.
+ORACLE["density_clusters"] = f"""WITH RECURSIVE {VEC},
+near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM vecs a, vecs b WHERE a.id <> b.id AND {r6('list_distance(a.vec, b.vec)')} <= 1.15),
+dense AS MATERIALIZED (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 3),
+links AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (SELECT id FROM dense) AND b IN (SELECT id FROM dense)),
 reach AS (SELECT id AS start, id AS node FROM dense UNION SELECT reach.start, links.b FROM reach JOIN links ON reach.node = links.a),
 comp AS (SELECT start AS id, min(node) AS component FROM reach GROUP BY start),
 big AS (SELECT component FROM comp GROUP BY component HAVING count(*) >= 5)

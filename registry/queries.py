@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from bidlens.functions import kernels, numbers, text, vectors as vec
 from bidlens.functions.dates import FEATURES, date_features, parse_date, temporal_vector
 from bidlens.operators import (
-    catalog, clusters, evaluation, features, index, metric, pairs, price, sampling, stats, vectors as vops,
+    catalog, clusters, density, evaluation, features, index, metric, pairs, price, sampling, stats, vectors as vops,
 )
 from bidlens.operators.composite import composite_topk, embedding_topk, with_breakdown
 from bidlens.plans import search
@@ -852,7 +852,7 @@ DENSITY_EPSILON = 1.15
 
 @query
 def density_clusters(spark, sf):
-    return clusters.density_clusters(vectors(spark, sf).select("id", "vec"), DENSITY_EPSILON, 3, 5)
+    return density.density_clusters(vectors(spark, sf).select("id", "vec"), DENSITY_EPSILON, 3, 5)
 
 
 @query

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidlens.functions import vectors as vec
-from bidlens.operators import clusters, features, index, metric, pairs, stats, vectors as vops
+from bidlens.operators import clusters, density, features, index, metric, pairs, stats, vectors as vops
 from bidlens.operators.evaluation import compare_methods, ranking_metrics, search_quality
 from bidlens.operators.sampling import hash_sample, split_column
 from bidlens.plans import search
@@ -76,7 +76,7 @@ def test_outliers(spark):
 
 
 def test_density_clusters_find_planted_groups(planted):
-    got = {r["id"]: r["label"] for r in clusters.density_clusters(planted, 1.0, 3, 5).collect()}
+    got = {r["id"]: r["label"] for r in density.density_clusters(planted, 1.0, 3, 5).collect()}
     assert {got[i] for i in range(20)} == {0} and {got[i] for i in range(20, 35)} == {20}
     assert {got[i] for i in range(35, 45)} == {35} and {got[i] for i in range(45, 50)} == {-1}
 
