@@ -138,3 +138,16 @@ def label_report(rows: DataFrame, label_col: str, vec_col: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct(real).alias("n_clusters"),
         F.sum((F.col(label_col) == -1).cast("long")).alias("n_outliers"), F.max(F.size(vec_col)).alias("embedding_dim"),
     )
+
+
+def training_report(rows: DataFrame, label_col: str, vec_col: str, widths: dict[str, int]) -> DataFrame:
+    """``label_report`` with the size of every cluster (noise under -1) and the widths of the feature blocks.
+
+    The distribution is one value of as many entries as there are clusters.
+    """
+    entry = F.struct(F.col(label_col).cast("long").alias("label"), "size")
+    counted = sizes(rows, label_col).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    named = F.map_from_entries(F.transform("e", lambda e: F.struct(e["label"].cast("string"), e["size"])))
+    dims = F.create_map(*[x for n in sorted(widths) for x in (F.lit(n), F.lit(widths[n]))])
+    whole = label_report(rows, label_col, vec_col).withColumn("feature_dimensions", dims)
+    return whole.crossJoin(counted.select(named.alias("cluster_distribution")))  # one row each

@@ -78,50 +78,63 @@ class OneHot:
 
     @classmethod
     def fit(cls, df: DataFrame, fields: Sequence[str], cap: int = 50) -> OneHot:
-        kept, capped = {}, {}
-        for f in fields:
-            counts = df.groupBy(F.coalesce(F.col(f), F.lit("")).alias("v")).count()
-            top = counts.orderBy(F.desc("count"), F.desc("v")).limit(cap + 1).collect()
-            capped[f] = len(top) > cap
-            kept[f] = sorted(r["v"] for r in top[: cap - 1 if capped[f] else cap])
-        return cls(kept, capped)
-
-    def slot(self, field: str, known: Column | None = None) -> Column:
+        """The ``cap`` most frequent values of every field, counted in one pass over all fields."""
+        if not fields:
+            return cls({}, {})
+        values = F.array(*[F.struct(F.lit(f).alias("f"), F.coalesce(F.col(f), F.lit("")).alias("v")) for f in fields])
+        counts = df.select(F.inline(values)).groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
+        place = F.row_number().over(Window.partitionBy("f").orderBy(F.desc("n"), F.desc("v")))
+        # At most cap + 1 rows per field reach the driver.
+        top = counts.withColumn("place", place).filter(F.col("place") <= cap + 1).orderBy("place").collect()
+        found = {f: [r["v"] for r in top if r["f"] == f] for f in fields}
+        capped = {f: len(v) > cap for f, v in found.items()}
+        return cls({f: sorted(v[: cap - 1 if capped[f] else cap]) for f, v in found.items()}, capped)
+
+    def slot(self, field: str, value: Column | None = None) -> Column:
         """Slot number of a value. A value outside the kept ones takes the shared slot or none."""
         names = self.kept[field]
-        value = F.coalesce(F.col(field), F.lit(""))
+        value = F.coalesce(F.col(field) if value is None else value, F.lit(""))
+        other = F.lit(len(names) if self.capped[field] else None).cast("int")
+        if not names:
+            return other
         lookup = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-        return F.coalesce(F.try_element_at(lookup, value), F.lit(len(names) if self.capped[field] else None).cast("int"))
+        return F.coalesce(F.try_element_at(lookup, value), other)
 
     def width(self, field: str) -> int:
         return len(self.kept[field]) + self.capped[field]
 
-    def vector(self, field: str) -> Column:
-        slot = self.slot(field)
-        return F.array(*[F.coalesce((slot == i).cast("double"), F.lit(0.0)) for i in range(self.width(field))])
+    def vector(self, field: str, value: Column | None = None) -> Column:
+        slot = self.slot(field, value)
+        return F.transform(F.sequence(F.lit(1), F.lit(self.width(field))), lambda i: F.coalesce((slot == i - 1).cast("double"), F.lit(0.0))) if self.width(field) else F.array().cast("array<double>")
+
+
+def scaling_shape(df: DataFrame, fields: Sequence[str], method: str, *more: Column) -> dict:
+    """(shift, spread) per field and the values of further aggregates, in one pass but for exact quantiles."""
+    if method not in ("standard", "minmax", "robust", "log"):
+        raise ValueError(f"unknown scaling {method!r}")
+    aggs = []
+    for f in fields:
+        if method == "standard":
+            aggs += [F.avg(f), F.stddev_pop(f)]
+        elif method == "minmax":
+            aggs += [F.min(f), F.max(f) - F.min(f)]
+    row = df.agg(*aggs, *more).first() if aggs or more else []
+    if method == "log":
+        shape = {}
+    elif method == "robust":
+        quarters = {f: exact_quantiles(df, f, [0.25, 0.5, 0.75]) for f in fields}
+        shape = {f: (mid, q3 - q1) for f, (q1, mid, q3) in quarters.items()}
+    else:
+        shape = {f: (row[2 * i], row[2 * i + 1]) for i, f in enumerate(fields)}
+    shape = {f: (float(a or 0), float(b or 0)) for f, (a, b) in shape.items()}
+    return {**shape, **(dict(zip(row.__fields__[len(aggs):], row[len(aggs):])) if more else {})}
 
 
 def scaling(df: DataFrame, fields: Sequence[str], method: str = "standard") -> dict[str, Column]:
     """Scaled column per field. Statistics are one driver row; a spread of 0 leaves the shift only."""
     if method == "log":
         return {f: F.when(F.col(f) > 0, F.log1p(F.col(f))).otherwise(F.col(f)) for f in fields}
-    if method == "robust":
-        shape = {}
-        for f in fields:
-            q1, mid, q3 = exact_quantiles(df, f, [0.25, 0.5, 0.75])
-            shape[f] = (mid, q3 - q1)
-    elif method in ("standard", "minmax"):
-        aggs = []
-        for f in fields:
-            if method == "standard":
-                aggs += [F.avg(f), F.stddev_pop(f)]
-            else:
-                aggs += [F.min(f), F.max(f) - F.min(f)]
-        row = df.agg(*aggs).first()
-        shape = {f: (row[2 * i], row[2 * i + 1]) for i, f in enumerate(fields)}
-    else:
-        raise ValueError(f"unknown scaling {method!r}")
-    return {f: (F.col(f) - F.lit(float(a or 0))) / F.lit(float(b or 0) or 1.0) for f, (a, b) in shape.items()}
+    return {f: (F.col(f) - F.lit(a)) / F.lit(b or 1.0) for f, (a, b) in scaling_shape(df, fields, method).items()}
 
 
 def pca_reduce(df: DataFrame, id_col: str, vec_col: str, components: int = 100, scale: bool = True):

@@ -153,6 +153,14 @@ def train(
 ) -> TrainedModel:
     """Reduce, cluster, learn a map from cluster pairs, project, index."""
     reduced, _ = pca_reduce(vectors, "id", "vec", components)
+    return train_reduced(reduced, epsilon, min_cluster_size, dim, epochs, nlist, keep_noise)
+
+
+def train_reduced(
+    reduced: DataFrame, epsilon: float | None = None, min_cluster_size: int = 5, dim: int = 64, epochs: int = 50,
+    nlist: int = 100, keep_noise: bool = False,
+) -> TrainedModel:
+    """Cluster reduced vectors (id, vec), learn a map from cluster pairs, project, index."""
     reduced = materialise(reduced, "reduced")
     graph = clusters.neighbour_graph(reduced, min_cluster_size)
     if epsilon is None:
@@ -167,7 +175,7 @@ def train(
     learned = metric.learn(made, labelled, dim, epochs)
     embeddings = materialise(project(labelled.select("id", "vec"), learned.weights), "embeddings")
     centroids = index.train_cells(embeddings, nlist)
-    path = scratch_path(vectors.sparkSession, "index")
+    path = scratch_path(reduced.sparkSession, "index")
     index.write_index(index.assign_cells(embeddings, centroids), path)
     return TrainedModel(labelled.select("id", "label"), learned, embeddings, centroids, path)
 

@@ -679,3 +679,37 @@ ORACLE["triplet_loss"] = f"""WITH {PAIRS}, g AS (SELECT id_a, min(id_b) AS p FRO
 d AS (SELECT list_distance(a.vec, p.vec) - list_distance(a.vec, n.vec) AS gap FROM g JOIN x USING (id_a) JOIN vecs a ON a.id = id_a
   JOIN vecs p ON p.id = g.p JOIN vecs n ON n.id = x.n)
 SELECT {r6('avg(greatest(0.0, gap + 1.0))')} AS loss, count(*) AS triples FROM d"""
+
+# --- encoder and search model ------------------------------------------------
+
+# Slots of a capped category: 19 values and a shared one where there are more than 20.
+_KINDS = {"method": "method", "region": "region", "currency": "''", "funding": "''", "status": "status", "platform": "platform"}
+
+
+def kept_names(field: str, value: str) -> str:
+    return f"""kept_{field} AS (SELECT v, n_all > 20 AND rn > 19 AS other FROM (SELECT v, row_number() OVER (ORDER BY n DESC, v DESC) AS rn, count(*) OVER () AS n_all
+  FROM (SELECT coalesce({value}, '') AS v, count(*) AS n FROM prep GROUP BY 1)))"""
+
+
+_KEPT = ", ".join(kept_names(f, v) for f, v in _KINDS.items())
+_ENCODED_WIDTHS = f"""widths AS (SELECT 5 * 64 AS text, {" + ".join(f"(SELECT least(count(*), 20) FROM kept_{f})" for f in _KINDS)} AS categorical, 4 AS numerical, 8 AS temporal)"""
+ORACLE["feature_dimensions"] = f"""WITH {TENDERS}, {_KEPT}, {_ENCODED_WIDTHS}
+SELECT unnest(['text', 'categorical', 'numerical', 'temporal', 'total']) AS block,
+  unnest([text, categorical, numerical, temporal, text + categorical + numerical + temporal])::BIGINT AS width FROM widths"""
+_KIND_NAMES = ", ".join(
+    f"(SELECT CASE WHEN other THEN '{f} (other)' ELSE '{f}=' || v END FROM kept_{f} WHERE v = coalesce({value}, ''))" for f, value in _KINDS.items()
+)
+ORACLE["encoded_features"] = f"""WITH {TENDERS}, {_KEPT}
+SELECT tender_id, len({words('title')})::BIGINT AS title_words, 0::BIGINT AS description_words, len({words('customer')})::BIGINT AS customer_words,
+  len({words(clean('funding'))})::BIGINT AS requirements_words, 0::BIGINT AS criteria_words, array_to_string(list_sort([{_KIND_NAMES}]), ';') AS kinds,
+  {r6('(price - (SELECT avg(price) FROM prep)) / (SELECT stddev_pop(price) FROM prep)')} AS price, 0.0::DOUBLE AS contract_price,
+  {r6('(price - (SELECT avg(price) FROM prep)) / (SELECT stddev_pop(price) FROM prep)')} AS bid_security, 0.0::DOUBLE AS performance_security,
+  {', '.join(f'{r6(_CYC[i])} AS {n}' for i, n in enumerate(("days_from_reference", "week_sin", "week_cos", "year_sin", "year_cos", "quarter", "year"), 1))}
+FROM prep"""
+ORACLE["train_save_search"] = f"""WITH {TENDERS} SELECT tender_id AS target_id, 1.0::DOUBLE AS score, true AS best, least(10, (SELECT count(*) FROM prep))::BIGINT AS k_returned,
+  (SELECT count(*) FROM prep) AS searched, 1.0::DOUBLE AS price_similarity FROM prep WHERE published > (SELECT max(published) FROM prep) - INTERVAL 7 DAY"""
+ORACLE["training_report"] = f"""WITH {TENDERS}, {_KEPT}, {_ENCODED_WIDTHS}, {NOISY}, sizes AS (SELECT label, count(*) AS size FROM rows_ GROUP BY label)
+SELECT (SELECT count(*) FROM rows_) AS n_rows, (SELECT count(DISTINCT label) FROM rows_ WHERE label <> -1) AS n_clusters,
+  (SELECT count(*) FROM rows_ WHERE label = -1) AS n_outliers, (SELECT max(len(vec))::INTEGER FROM rows_) AS embedding_dim,
+  (SELECT '{{"categorical":' || categorical || ',"numerical":' || numerical || ',"temporal":' || temporal || ',"text":' || text || ',"total":' || (categorical + numerical + temporal + text) || '}}' FROM widths) AS feature_dimensions,
+  (SELECT '{{' || string_agg('"' || label || '":' || size, ',' ORDER BY label) || '}}' FROM sizes) AS cluster_distribution"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from bidlens.functions import kernels, numbers, text, vectors as vec
 from bidlens.functions.dates import FEATURES, date_features, parse_date, temporal_vector
@@ -13,7 +14,9 @@ from bidlens.operators import (
     catalog, clusters, density, evaluation, features, index, metric, pairs, price, sampling, stats, vectors as vops,
 )
 from bidlens.operators.composite import composite_topk, embedding_topk, with_breakdown
+from bidlens.operators.encoder import TenderEncoder, feature_dimensions as block_widths, slot_names
 from bidlens.plans import search
+from bidlens.plans.model import TenderSearch, TenderSearchModel, encodable
 from bidlens.plans.tenders import (
     canonical_tenders as canonical, customer_places, day_text, money_text, order_tenders, prepared, preprocess, table, typed_tenders as typed,
 )
@@ -982,3 +985,54 @@ def metric_learning(spark, sf):
 @query
 def train_model(spark, sf):
     return search.train(vectors(spark, sf).select("id", "vec")).report()
+
+
+# --- encoder and search model ------------------------------------------------
+
+def _encoded(spark, sf) -> DataFrame:
+    rows = encodable(raw_tenders(spark, sf))
+    return TenderEncoder(cap=20).fit(rows).transform(rows)
+
+
+@query
+def feature_dimensions(spark, sf):
+    widths = block_widths(_encoded(spark, sf))
+    return spark.createDataFrame(list(widths.items()), "block string, width long")
+
+
+@query
+def encoded_features(spark, sf):
+    """All blocks of the feature vector: words per text, the category's slot, scaled numbers, the calendar."""
+    rows = _encoded(spark, sf)
+    names = {n: i for i, n in enumerate(slot_names(rows))}
+    v = F.col("v")
+    out = rows.withColumn("v", vector_to_array("features"))
+    words = [F.aggregate(F.slice(v, 64 * i + 1, 64), F.lit(0.0), lambda a, x: a + x).cast("long").alias(f"{t}_words") for i, t in enumerate(("title", "description", "customer", "requirements", "criteria"))]
+    first = 64 * 5
+    kinds = [n for n in names if "=" in n or n.endswith(" (other)")]
+    on = F.array_sort(F.filter(F.transform(F.slice(v, first + 1, len(kinds)), lambda x, i: F.when(x == 1, F.get(F.array(*[F.lit(k) for k in kinds]), i))), lambda n: n.isNotNull()))
+    numbers_ = [r6(F.get(v, F.lit(names[n])), n) for n in ("price", "contract_price", "bid_security", "performance_security")]
+    days = [r6(F.get(v, F.lit(names[n])), n) for n in ("days_from_reference", "week_sin", "week_cos", "year_sin", "year_cos", "quarter", "year")]
+    return out.select("tender_id", *words, F.array_join(on, ";").alias("kinds"), *numbers_, *days)
+
+
+@query
+def train_save_search(spark, sf):
+    """Train on raw tenders, save, load, and ask for the newest raw tenders: each finds itself, nothing scores higher."""
+    raw = raw_tenders(spark, sf)
+    path = scratch_path(spark, "search_model")
+    TenderSearch(components=16, dim=16, epochs=3, nlist=16).fit(raw).write().save(path)
+    new, _ = new_and_history(spark, sf)
+    found = TenderSearchModel.load(path).find_similar(raw.join(new.select("o_orderkey"), "o_orderkey", "left_semi"), 10)
+    best = F.max("score").over(Window.partitionBy("target_row"))
+    found = found.withColumn("best", F.col("score") == best).filter("target_id = tender_id")
+    return found.select("target_id", "score", "best", "k_returned", "searched", r6(F.col("parts.price_similarity"), "price_similarity"))
+
+
+@query
+def training_report(spark, sf):
+    """Feature widths, clusters with their sizes, noise and vector width as one row."""
+    widths = block_widths(_encoded(spark, sf))
+    out = clusters.training_report(noisy_vectors(spark, sf), "label", "vec", widths)
+    text_ = {c: F.to_json(c).alias(c) for c in ("feature_dimensions", "cluster_distribution")}
+    return out.select(*[text_.get(c, F.col(c)) for c in out.columns])
