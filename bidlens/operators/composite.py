@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from bidlens.functions import kernels
+from bidlens.operators.encoding import EncoderFactory, cosine_block, encode_fields
 from bidlens.operators.topk import Scorer, ScorerFactory, hits_side, topk
 from bidlens.schema import (
     COMPONENTS, DATE_SCALE_DAYS, DISTRICTS, EMBEDDING_FIELD_WEIGHTS, METHOD_GROUPS, OTHER_FIELDS, PRICE_SCALE_FACTOR,
@@ -69,14 +71,54 @@ def _category(a: str, b: str) -> float:
     return 0.3 if a in b or b in a else 0.0
 
 
-def composite_scorer(
-    weights: Mapping[str, float] | None = None, districts: Groups | None = None, method_groups: Groups | None = None
-) -> ScorerFactory:
-    """Block form of ``kernels.composite_score``; tests hold the two equal."""
-    w = {n: normalised_weights(weights).get(n, 0.0) for n in COMPONENTS}
+@dataclass(frozen=True)
+class Similarity:
+    """How components are compared.
+
+    ``numeric``: gaussian, exponential or inverse, over a width that follows the two
+    prices, or ``scale`` if given. ``temporal``: exponential, gaussian or linear over
+    ``scale_days``. ``encoder`` loads a text encoder; without one texts are compared by
+    their word counts.
+    """
+
+    numeric: str = "gaussian"
+    scale: float | None = None
+    temporal: str = "exponential"
+    scale_days: float = DATE_SCALE_DAYS
+    encoder: EncoderFactory | None = None
+
+    def __post_init__(self) -> None:
+        if self.numeric not in ("gaussian", "exponential", "inverse"):
+            raise ValueError(f"unknown numeric similarity {self.numeric!r}")
+        if self.temporal not in ("exponential", "gaussian", "linear"):
+            raise ValueError(f"unknown temporal similarity {self.temporal!r}")
+
+    def prices(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.scale is None:
+            width = np.maximum(PRICE_SCALE_FLOOR, (np.abs(a) + np.abs(b)) / 2 * PRICE_SCALE_FACTOR)
+        else:
+            width = np.full(np.broadcast(a, b).shape, self.scale if self.scale > 0 else 1.0)
+        gap = np.abs(a - b)
+        if self.numeric == "gaussian":
+            return np.exp(-(gap * gap) / (2 * width * width))
+        return np.exp(-gap / width) if self.numeric == "exponential" else 1 / (1 + gap / width)
+
+    def days(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Seconds on both sides; a missing one scores 0."""
+        share = np.abs(a - b) / (self.scale_days * 86400.0)
+        if self.temporal == "exponential":
+            out = np.exp(-share)
+        else:
+            out = np.exp(-(share * share) / 2) if self.temporal == "gaussian" else np.maximum(0.0, 1 - share)
+        return np.nan_to_num(out, nan=0.0)
+
+
+WORD_FIELDS = (("text", "title"), ("description", "description"), ("customer", "customer"))
+
+
+def region_rule(districts: Groups | None = None) -> Callable[[str, str], float]:
     near = _shares_group(DISTRICTS if districts is None else districts)
     spelt = _shares_group({base: [base, *others] for base, others in REGION_SPELLINGS.items()})
-    grouped = _shares_group(METHOD_GROUPS if method_groups is None else method_groups)
 
     def region(a: str, b: str) -> float:
         if not a or not b:
@@ -85,6 +127,12 @@ def composite_scorer(
             return 1.0
         return 0.5 if near(a, b) else 0.8 if spelt(a, b) else 0.0
 
+    return region
+
+
+def method_rule(method_groups: Groups | None = None) -> Callable[[str, str], float]:
+    grouped = _shares_group(METHOD_GROUPS if method_groups is None else method_groups)
+
     def method(a: str, b: str) -> float:
         if not a or not b:
             return 0.0
@@ -94,6 +142,17 @@ def composite_scorer(
             return 0.8
         return 0.3 if any(x in b for x in a.split()) or any(x in a for x in b.split()) else 0.0
 
+    return method
+
+
+def composite_scorer(
+    weights: Mapping[str, float] | None = None, districts: Groups | None = None, method_groups: Groups | None = None,
+    similarity: Similarity = Similarity(),
+) -> ScorerFactory:
+    """Block form of ``kernels.composite_score``; tests hold the two equal."""
+    w = {n: normalised_weights(weights).get(n, 0.0) for n in COMPONENTS}
+    region, method = region_rule(districts), method_rule(method_groups)
+
     def make(targets: pd.DataFrame) -> Scorer:
         def goals(name: str) -> list[str]:
             return targets[name].tolist()
@@ -102,20 +161,19 @@ def composite_scorer(
 
         def score(batch: pd.DataFrame) -> np.ndarray:
             out = np.zeros((len(batch), len(targets)))
-            for name, field in (("text", "title"), ("description", "description"), ("customer", "customer")):
-                if w[name]:
+            for name, field in WORD_FIELDS:
+                if w[name] and similarity.encoder:
+                    out += w[name] * cosine_block(batch[f"{field}_vec"].tolist(), targets[f"{field}_vec"].tolist())
+                elif w[name]:
                     out += w[name] * _word_block(batch[field], goals(field))
             if w["region"]:
                 out += w["region"] * _value_block(batch["region"], goals("region"), region)
             if w["method"]:
                 out += w["method"] * _value_block(batch["method"], goals("method"), method)
             if w["price"]:
-                p = batch["price"].to_numpy(float)[:, None]
-                width = np.maximum(PRICE_SCALE_FLOOR, (np.abs(p) + np.abs(price)) / 2 * PRICE_SCALE_FACTOR)
-                out += w["price"] * np.exp(-((p - price) ** 2) / (2 * width * width))
+                out += w["price"] * similarity.prices(batch["price"].to_numpy(float)[:, None], price[None, :])
             if w["date"]:
-                gap = np.abs(batch["published_s"].to_numpy(float)[:, None] - day)
-                out += w["date"] * np.nan_to_num(np.exp(-gap / (DATE_SCALE_DAYS * 86400.0)), nan=0.0)
+                out += w["date"] * similarity.days(batch["published_s"].to_numpy(float)[:, None], day[None, :])
             if w["other"]:
                 total, count = np.zeros_like(out), np.zeros_like(out)
                 for field in OTHER_FIELDS:
@@ -138,11 +196,18 @@ def _slim(df: DataFrame, id_col: str, keep: str) -> DataFrame:
 def composite_topk(
     candidates: DataFrame, targets: DataFrame, k: int, weights: Mapping[str, float] | None = None,
     min_similarity: float = 0.0, districts: Groups | None = None, method_groups: Groups | None = None,
+    similarity: Similarity = Similarity(),
 ) -> DataFrame:
-    """(target_id, tender_id, score, rank) over prepared tenders; never the target itself."""
+    """(target_id, tender_id, score, rank) over prepared tenders; never the target itself.
+
+    Results are named by id; ``history.HistoryIndex`` tells rows without one apart.
+    """
     base = _slim(candidates, "tender_id", "tender_id")
     queries = _slim(targets, "tender_id", "target_id")
-    make = composite_scorer(weights, districts, method_groups)
+    if similarity.encoder:
+        texts = [field for _, field in WORD_FIELDS]
+        base, queries = encode_fields(base, texts, similarity.encoder), encode_fields(queries, texts, similarity.encoder)
+    make = composite_scorer(weights, districts, method_groups, similarity)
     found = topk(base, queries, make, "target_id", "tender_id", k, exclude_self=True)
     # All rows above the threshold rank before those below: a cut after the top k is the same cut.
     return found.filter(F.col("score") >= min_similarity) if min_similarity > 0 else found

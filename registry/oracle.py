@@ -169,8 +169,10 @@ fresh AS (SELECT prep.* FROM prep, latest WHERE published > d),
 history AS (SELECT prep.* FROM prep, latest WHERE published <= d)"""
 
 
-def ranked(k: int, where: str = "", weights: dict[str, float] = WEIGHTS, targets: str = "fresh", pool: str = "history") -> str:
-    cols = parts("t", "c")
+def ranked(
+    k: int, where: str = "", weights: dict[str, float] = WEIGHTS, targets: str = "fresh", pool: str = "history", other: dict[str, str] | None = None,
+) -> str:
+    cols = parts("t", "c") | (other or {})
     listed = ", ".join(f"{e} AS {n}" for n, e in cols.items() if n in weights)
     return f""",
 pairs AS (SELECT t.tender_id AS target_id, c.tender_id AS tender_id, c.price AS neighbour_price, {listed}
@@ -713,3 +715,40 @@ SELECT (SELECT count(*) FROM rows_) AS n_rows, (SELECT count(DISTINCT label) FRO
   (SELECT count(*) FROM rows_ WHERE label = -1) AS n_outliers, (SELECT max(len(vec))::INTEGER FROM rows_) AS embedding_dim,
   (SELECT '{{"categorical":' || categorical || ',"numerical":' || numerical || ',"temporal":' || temporal || ',"text":' || text || ',"total":' || (categorical + numerical + temporal + text) || '}}' FROM widths) AS feature_dimensions,
   (SELECT '{{' || string_agg('"' || label || '":' || size, ',' ORDER BY label) || '}}' FROM sizes) AS cluster_distribution"""
+
+# --- rule-weighted search over a written history -----------------------------
+
+_BEST = "SELECT target_id, tender_id, rank, score FROM best"
+ORACLE["composite_topk_pruned"] = f"{SEARCH} {_BEST}"
+_OPTIONS = {
+    "price": "1.0 / (1.0 + abs(t.price - c.price) / greatest(100000.0, (abs(t.price) + abs(c.price)) / 2.0 * 0.5))",
+    "date": f"coalesce(greatest(0.0, 1.0 - {gap('t.published', 'c.published')} / (400 * 86400.0)), 0.0)",
+}
+ORACLE["composite_options"] = f"WITH {TENDERS}{NEW_OLD}{ranked(10, '', {'price': 0.5, 'date': 0.3, 'method': 0.2}, other=_OPTIONS)} {_BEST}"
+
+
+def slot_counts(e: str, dims: int) -> str:
+    return f"list_transform(range({dims}), lambda i: len(list_filter({words(e)}, lambda w: {hashed('w')} % {dims} = i))::DOUBLE)"
+
+
+_VECS = ", ".join(f"{slot_counts(f, 16)} AS {f}_v" for f in ("title", "description", "customer"))
+_DENSE = {n: f"greatest(0.0, {cos(f't.{f}_v', f'c.{f}_v')})" for n, f in (("text", "title"), ("description", "description"), ("customer", "customer"))}
+ORACLE["composite_encoder"] = f"""WITH {TENDERS}{NEW_OLD}, fresh_v AS MATERIALIZED (SELECT *, {_VECS} FROM fresh), history_v AS MATERIALIZED (SELECT *, {_VECS} FROM history)
+{ranked(10, targets='fresh_v', pool='history_v', other=_DENSE)} {_BEST}"""
+_UNITS = {"title": 0.4, "description": 0.3, "customer": 0.2}
+_TERMS = " + ".join(f"coalesce({w} * {f}_v[i] / nullif({length(f'{f}_v')}, 0), 0.0)" for f, w in _UNITS.items())
+_PRESENT = " + ".join(f"CASE WHEN {length(f'{f}_v')} > 0 THEN {w} ELSE 0.0 END" for f, w in _UNITS.items())
+ORACLE["dense_composite_embedding"] = f"""WITH {TENDERS}, v AS MATERIALIZED (SELECT tender_id, {", ".join(f"{slot_counts(f, 8)} AS {f}_v" for f in _UNITS)} FROM prep),
+p AS (SELECT v.*, i FROM v, (SELECT unnest(range(1, 9)) AS i))
+SELECT tender_id, (i - 1)::INTEGER AS pos, {r6(f"coalesce(({_TERMS}) / nullif({_PRESENT}, 0), 0.0)")} AS value FROM p"""
+_COLS = parts("t", "c")
+ORACLE["find_similar_without_id"] = f"""WITH {TENDERS}{NEW_OLD},
+pool AS (SELECT prep.* REPLACE (CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE tender_id END AS tender_id), copy
+  FROM prep, (SELECT unnest([0, 1]) AS copy) WHERE copy = 0 OR o_orderkey % 8 = 0),
+goals AS (SELECT fresh.* REPLACE (CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE tender_id END AS tender_id), ask
+  FROM fresh, (SELECT unnest([0, 1]) AS ask) WHERE ask = 0 OR o_orderkey % 2 = 0),
+pairs AS (SELECT t.o_orderkey, t.ask, t.tender_id AS target_id, c.tender_id, {", ".join(f"{e} AS {n}" for n, e in _COLS.items())} FROM goals t, pool c
+  WHERE CASE WHEN t.tender_id <> '' THEN c.tender_id <> t.tender_id ELSE NOT (c.o_orderkey = t.o_orderkey AND c.copy = 0) END),
+scored AS (SELECT *, {r6(score({n: n for n in _COLS}, WEIGHTS))} AS score FROM pairs)
+SELECT o_orderkey, target_id, row_number() OVER (PARTITION BY o_orderkey, ask ORDER BY score DESC, tender_id) AS rank, tender_id, score FROM scored
+  QUALIFY row_number() OVER (PARTITION BY o_orderkey, ask ORDER BY score DESC, tender_id) <= 5"""

@@ -13,7 +13,9 @@ from bidlens.functions.dates import FEATURES, date_features, parse_date, tempora
 from bidlens.operators import (
     catalog, clusters, density, evaluation, features, index, metric, pairs, price, sampling, stats, vectors as vops,
 )
-from bidlens.operators.composite import composite_topk, embedding_topk, with_breakdown
+from bidlens.operators.composite import Similarity, composite_topk, embedding_topk, with_breakdown
+from bidlens.operators.encoding import HashedWords, composite_vectors
+from bidlens.operators.history import HistoryIndex
 from bidlens.operators.encoder import TenderEncoder, feature_dimensions as block_widths, slot_names
 from bidlens.plans import search
 from bidlens.plans.model import TenderSearch, TenderSearchModel, encodable
@@ -1036,3 +1038,49 @@ def training_report(spark, sf):
     out = clusters.training_report(noisy_vectors(spark, sf), "label", "vec", widths)
     text_ = {c: F.to_json(c).alias(c) for c in ("feature_dimensions", "cluster_distribution")}
     return out.select(*[text_.get(c, F.col(c)) for c in out.columns])
+
+
+# --- rule-weighted search over a written history -----------------------------
+
+def _pruned(spark, sf, **how) -> DataFrame:
+    new, old = new_and_history(spark, sf)
+    found = HistoryIndex.build(old).topk(new, 10, **how, **groups(spark, sf))
+    return found.select("target_id", "tender_id", "rank", "score")
+
+
+@query
+def composite_topk_pruned(spark, sf):
+    return _pruned(spark, sf)
+
+
+@query
+def composite_options(spark, sf):
+    return _pruned(spark, sf, similarity=Similarity(numeric="inverse", temporal="linear", scale_days=400.0), weights={"price": 0.5, "date": 0.3, "method": 0.2})
+
+
+@query
+def composite_encoder(spark, sf):
+    return _pruned(spark, sf, similarity=Similarity(encoder=lambda: HashedWords(16)))
+
+
+@query
+def dense_composite_embedding(spark, sf):
+    t = prepared_tenders(spark, sf)
+    out = composite_vectors(t, "tender_id", {"title": 0.4, "description": 0.3, "customer": 0.2}, lambda: HashedWords(8))
+    return out.select("tender_id", F.posexplode("vec").alias("pos", "v")).select("tender_id", "pos", r6(F.col("v"), "value"))
+
+
+@query
+def find_similar_without_id(spark, sf):
+    """Tenders of even orders have no id, every eighth is in the history twice, and their targets are asked twice."""
+    rows = prepared_tenders(spark, sf)
+    new, _ = new_and_history(spark, sf)
+    nameless = F.col("o_orderkey") % 2 == 0
+
+    def blanked(df):
+        return df.withColumn("tender_id", F.when(nameless, "").otherwise(F.col("tender_id")))
+
+    built = HistoryIndex.build(blanked(rows.unionByName(rows.filter("o_orderkey % 8 = 0"))))
+    asked = built.numbered_targets(blanked(new.unionByName(new.filter(nameless))))
+    found = built.topk(asked, 5, **groups(spark, sf))
+    return found.join(asked.select("target_row", "o_orderkey"), "target_row").select("o_orderkey", "target_id", "rank", "tender_id", "score")
