@@ -752,3 +752,21 @@ pairs AS (SELECT t.o_orderkey, t.ask, t.tender_id AS target_id, c.tender_id, {",
 scored AS (SELECT *, {r6(score({n: n for n in _COLS}, WEIGHTS))} AS score FROM pairs)
 SELECT o_orderkey, target_id, row_number() OVER (PARTITION BY o_orderkey, ask ORDER BY score DESC, tender_id) AS rank, tender_id, score FROM scored
   QUALIFY row_number() OVER (PARTITION BY o_orderkey, ask ORDER BY score DESC, tender_id) <= 5"""
+
+# --- index of cells and codes, sampled pairs, compacted log ------------------
+
+ORACLE["ivf_pq_search"] = ORACLE["ivf_search"]
+ORACLE["compacted_log"] = ORACLE["stream_upsert"]
+ORACLE["sampled_pairs"] = f"""WITH {VEC}, k AS (SELECT id, label AS g, row_number() OVER (ORDER BY label, {hashed('id')}, id) - 1 AS pos FROM vecs),
+l AS (SELECT g, min(pos) AS start, count(*) AS own, (count(*) * (count(*) - 1) // 2)::HUGEINT AS pairs FROM k GROUP BY g),
+m AS (SELECT *, sum(pairs) OVER (ORDER BY g) AS upto, sum(pairs) OVER () AS all_pairs, (sum(own) OVER ())::BIGINT AS n FROM l),
+w AS (SELECT *, least(n * 6 // 2, all_pairs)::HUGEINT AS wanted FROM m),
+q AS (SELECT *, (wanted * upto // all_pairs - wanted * (upto - pairs) // all_pairs)::BIGINT AS quota FROM w),
+j AS (SELECT q.*, unnest(range(quota)) AS j FROM q),
+t AS (SELECT *, (j * pairs // quota + {hashed("g || ':' || j")} % ((j + 1) * pairs // quota - j * pairs // quota))::BIGINT AS t FROM j),
+i AS (SELECT *, floor((sqrt(8.0 * t + 1) + 1) / 2)::BIGINT AS i FROM t),
+good AS (SELECT start + i AS p, start + t - i * (i - 1) // 2 AS q, 1 AS label FROM i),
+bad AS (SELECT pos AS p, (start + own + {hashed("'n:' || id || ':' || draw")} % (n - own)) % n AS q, 0 AS label FROM k JOIN q USING (g), (SELECT unnest([1, 2, 3]) AS draw) WHERE n > own)
+SELECT CASE WHEN u.label = 0 THEN a.id ELSE least(a.id, b.id) END AS id_a, CASE WHEN u.label = 0 THEN b.id ELSE greatest(a.id, b.id) END AS id_b, u.label
+FROM (SELECT * FROM good UNION ALL SELECT * FROM bad) u JOIN k a ON a.pos = u.p JOIN k b ON b.pos = u.q"""
+ORACLE["lsh_recall"] = "SELECT count(*) * least(5, count(*) - 1) AS neighbours, true AS enough FROM embeddings"

@@ -26,7 +26,7 @@ from bidlens.schema import COMPONENTS
 from bidlens.session import materialise, scratch_path
 from bidlens.sources import html
 from bidlens.sources.json_records import essential, read_json_records
-from bidlens.sources.upsert import upsert, upsert_stats
+from bidlens.sources.upsert import append_changes, compact, compacted_state, upsert, upsert_stats
 from bidlens.streaming.ingest import stream_upsert
 from registry.inputs import (
     consecutive, groups, label_queries, new_and_history, noisy_vectors, prepared_tenders, r6, vector_pairs, vectors,
@@ -1084,3 +1084,44 @@ def find_similar_without_id(spark, sf):
     asked = built.numbered_targets(blanked(new.unionByName(new.filter(nameless))))
     found = built.topk(asked, 5, **groups(spark, sf))
     return found.join(asked.select("target_row", "o_orderkey"), "target_row").select("o_orderkey", "target_id", "rank", "tender_id", "score")
+
+
+# --- index of cells and codes, sampled pairs, compacted log ------------------
+
+@query
+def ivf_pq_search(spark, sf):
+    """Codes below coarse cells; the best hundred of three cells are ranked exactly."""
+    rows = vectors(spark, sf).select("id", "vec")
+    trained = index.CellCodes.train(rows, m=8, bits=6, centroids=_label_centroids(spark, sf))
+    path = scratch_path(spark, "codes")
+    index.write_index(trained.encode(rows), path)
+    asked = rows.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    return _hits(index.ivf_pq_search(index.read_index(spark, path), trained, asked, 5, 3, rows, 20)).withColumn("score", F.col("score"))
+
+
+@query
+def sampled_pairs(spark, sf):
+    return pairs.sampled_pairs(vectors(spark, sf), 6)
+
+
+@query
+def compacted_log(spark, sf):
+    """The crawl in three batches, taken into the base after the first and the second."""
+    path, lines = scratch_path(spark, "compacted"), table(spark, sf, "lineitem")
+    for batch, (low, high) in enumerate([(0, 2), (3, 4), (5, 99)]):
+        append_changes(f"{path}/log", _crawled(lines.filter(F.col("l_linenumber").between(low, high))), batch, ORDER)
+        if batch < 2:
+            compact(spark, path, ORDER)
+    state = compacted_state(spark, path, ORDER)
+    return state.select("icz", "object_name", F.col("initial_price").cast("double").alias("initial_price"))
+
+
+@query
+def lsh_recall(spark, sf):
+    """Whether the multi-probe search finds nine of ten exact neighbours of every row."""
+    rows = vectors(spark, sf).select("id", "vec")
+    asked = rows.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    exact = vops.vector_topk(rows, asked, 5, exclude_self=True).select("query_id", "id")
+    found = index.lsh_probe_topk(rows, asked, 5, probes=8, exclude_self=True).select("query_id", "id", F.lit(1).alias("hit"))
+    out = exact.join(found, ["query_id", "id"], "left")
+    return out.agg(F.count(F.lit(1)).alias("neighbours"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
