@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bidlens.llm import conversation_repair as cr, merkle, token_files
+from bidlens.llm import conversation_repair as cr, line_dedup, merkle, token_files
 from bidlens.llm.queries import ORACLE, QUERIES, VOCABULARY
 from bidlens.session import scratch_path
 
@@ -347,3 +347,27 @@ def test_sql_gives_the_same_rows(spark, sf, name):
     names = [d[0] for d in cursor.description]
     got = QUERIES[name](spark, sf)
     assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, cursor.fetchall()))
+
+
+# Lines of documents that share an id
+
+A, B, C, D = ("first line of the corpus, long enough", "second sentence that nobody repeats", "third one with words of its own", "fourth and last of these lines")
+
+
+def test_rows_of_one_id_lose_no_line(spark):
+    rows = [(5, f"{A}\n{B}"), (5, f"{B}\n{C}"), (5, D), (9, f"{D}\n{A}\nshort"), (None, A), (None, A), (7, None)]
+    docs = spark.createDataFrame([(*r, "x", "y", 1, 2) for r in rows], "doc_id long, text string, _doc string, _lines string, N_LINES int, _number int").coalesce(1)
+    got = line_dedup.dedup_lines(docs)
+    assert sorted(got.columns) == sorted(["doc_id", "_doc", "_lines", "_number", "text", "n_lines", "n_removed"])
+    out = got.collect()
+    assert len(out) == len(rows)
+    kept = [line for r in out if r["doc_id"] is not None and r["text"] for line in r["text"].split("\n")]
+    assert sorted(x for x in kept if x) == sorted([A, B, C, D, "short"])
+    assert [r["text"] for r in out if r["doc_id"] is None] == [A, A]
+    assert sum(r["n_removed"] for r in out) == 3
+
+
+def test_row_numbers_follow_the_ids(spark):
+    docs = spark.createDataFrame([(3, "a"), (1, "b"), (3, "c"), (None, "d")], "doc_id long, text string").coalesce(1)
+    got = {r["text"]: r["n"] for r in line_dedup.numbered_rows(docs, "doc_id", "n").collect()}
+    assert got == {"b": 1, "a": 2, "c": 3, "d": None}
