@@ -410,13 +410,35 @@ def group_links(texts: DataFrame, sketched: DataFrame, shared: DataFrame, classe
     return materialise(asked.join(stored, "group").select("asked", "members").mapInArrow(search, "a long, b long"), "group_links")
 
 
+def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of these links, enough to hold the same nodes together: one less than a connected piece has nodes."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for a, b in pairs:
+        left, right = find(a), find(b)
+        if left != right:
+            root[left] = right
+            kept.append((a, b))
+    return kept
+
+
 def _links_into(asked: list[dict], members: list[dict], percent: int) -> tuple[list[int], list[int]]:
-    """Similar pairs of the sets that ask and the members of a group, of another class or, unless asked for any, of higher standing."""
+    """Classes that similar pairs of asking sets and members of a group link, as a spanning forest.
+
+    Pairs are of another class or, unless the set asks for any, of one of higher standing.
+    """
 
     def standing(m: dict) -> tuple[int, int]:
         return m["standing"]["size"], m["standing"]["name"]
 
-    a, b = [], []
+    found: list[tuple[int, int]] = []
     sets_ = [np.frombuffer(m["tokens"], np.uint64) for m in members]
     owner = np.repeat(np.arange(len(sets_)), [len(t) for t in sets_])
     tokens = np.concatenate(sets_)
@@ -433,9 +455,9 @@ def _links_into(asked: list[dict], members: list[dict], percent: int) -> tuple[l
         shared = np.bincount(owner[hits], minlength=len(members))
         for k, m in enumerate(members):
             if (standing(q) < standing(m) or q["any_class"] and standing(m) < standing(q)) and linked(int(shared[k]), len(query), len(sets_[k]), percent):
-                a.append(q["key"])
-                b.append(m["key"])
-    return a, b
+                found.append((q["standing"]["name"], m["standing"]["name"]))
+    kept = _forest(list(dict.fromkeys(found)))
+    return [a for a, _ in kept], [b for _, b in kept]
 
 
 def classes_of(links: DataFrame) -> DataFrame:
@@ -463,12 +485,8 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, id_col: str = "d
     stars = leader_links(texts, sketched, percent)
     classes = materialise(classes_of(stars), "classes")
     more = group_links(texts, sketched, shared_tokens(sketched, common[0], buckets), classes, percent)
-    # Links between classes only: a class is one node from here on.
-    names = classes.select(F.col("key").alias("_k"), F.col("class").alias("_c"))
-    lifted = more
-    for side in ("a", "b"):
-        lifted = lifted.join(names, F.col(side) == F.col("_k"), "left").withColumn(side, F.coalesce("_c", side)).drop("_k", "_c")
-    joined = materialise(classes_of(lifted.distinct()), "joined").select(F.col("key").alias("_k"), F.col("class").alias("_c"))
+    # Links name classes: a class is one node from here on.
+    joined = materialise(classes_of(more.distinct()), "joined").select(F.col("key").alias("_k"), F.col("class").alias("_c"))
     rows = sketched.select("doc_id", "n", "key").join(classes, "key", "left").withColumn("_node", F.coalesce("class", "key"))
     rows = rows.join(joined, F.col("_node") == F.col("_k"), "left").select("doc_id", "n", F.coalesce("_c", "_node").alias("_root"))
     smallest = rows.filter(F.col("_root").isNotNull()).groupBy("_root").agg(F.min("doc_id").alias("_smallest"))
