@@ -108,12 +108,12 @@ def to_postfix(tokens: list[str]) -> list[str]:
     return out + [t for t in reversed(waiting) if t != "("]
 
 
-def evaluate(postfix: list[str]) -> tuple[float, list[str]]:
+def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
     """(permission, identifiers): OR lets the reader choose, AND asks for both, WITH adds an exception."""
-    stack: list[tuple[float, list[str]]] = []
+    stack: list[tuple[float, set[str]]] = []
     for token in postfix:
         if token not in _RANK:
-            stack.append((PERMISSION.get(license_name(token), UNKNOWN_PERMISSION), [license_name(token)]))
+            stack.append((PERMISSION.get(license_name(token), UNKNOWN_PERMISSION), {license_name(token)}))
             continue
         if len(stack) < 2:
             break
@@ -121,8 +121,11 @@ def evaluate(postfix: list[str]) -> tuple[float, list[str]]:
         if token == "WITH":
             stack.append((min(1.0, a + WITH_EXCEPTION), names_a))
         else:
-            stack.append(((max if token == "OR" else min)(a, b), names_a + names_b))
-    return (min((s for s, _ in stack), default=0.0), [n for _, names in stack for n in names])
+            # The smaller set goes into the larger one, so a long expression costs little more than its length.
+            few, many = sorted((names_a, names_b), key=len)
+            many |= few
+            stack.append(((max if token == "OR" else min)(a, b), many))
+    return min((s for s, _ in stack), default=0.0), set().union(*(names for _, names in stack))
 
 
 def license_name(token: str) -> str:
@@ -142,10 +145,12 @@ def scan_text(text: str, phrases: ahocorasick.Automaton) -> tuple:
     words = text.encode().translate(_WORDS).split()
     joined = (b" " + b" ".join(words) + b" ").decode()
     base, labels, scores, tagged = [], set(), [], False
+    # Hits come by their ends, so the words before an end are counted on from the hit before.
+    n_before, counted = 0, 0
     for end, phrase in phrases.iter(joined):
         if phrase in BASE_PHRASES:
-            start = end - len(phrase) - 1
-            base.append((joined.count(" ", 0, start + 1) - 1, BASE_PHRASES[phrase]))
+            n_before, counted = n_before + joined.count(" ", counted, end), end
+            base.append((n_before - phrase.count(" ") - 1, BASE_PHRASES[phrase]))
         if phrase in NOTICE_PHRASES:
             labels.add(NOTICE_PHRASES[phrase].lower())
         tagged |= phrase in TAG_PHRASES
@@ -177,7 +182,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tagged expressions. ``expressions`` are the tagged expressions in order. ``score`` is
     how freely the text may be used: the lowest of all notices and evaluated expressions,
     0 without any. Null and empty texts have no words and no labels; repeated rows are
-    read each; a broken expression counts up to where it breaks.
+    read each; a broken expression counts up to where it breaks. Very long texts are read
+    whole, in time that grows with their length; an empty table gives an empty one; further
+    columns, whatever their names, are left behind.
     """
 
     def scan(batches):

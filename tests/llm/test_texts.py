@@ -1,6 +1,7 @@
 """Operators that look at one text at a time: counts, spans, scores, licences, rules, leaks, packing."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -365,6 +366,16 @@ def test_license_expressions(text, labels, score):
     assert found[5] == labels and found[6] == pytest.approx(score)
 
 
+def test_license_scan_of_many_notices_takes_linear_time():
+    phrases = licenses.automaton()
+    text = "The mit license, the Apache License; gnu general public license\n" * 40_000
+    started = time.monotonic()
+    assert licenses.scan_text(text, phrases)[:5] == plain_licenses(text)
+    nested = "SPDX-License-Identifier: " + "(MIT OR " * 50_000 + "ISC" + ")" * 50_000 + " AND " + " OR ".join(f"x-{k}" for k in range(50_000))
+    assert len(licenses.scan_text(nested, phrases)[5].split(",")) == 50_002
+    assert time.monotonic() - started < 20
+
+
 # Quality rules
 
 
