@@ -17,8 +17,8 @@ from bidlens.session import materialise
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
-# Bits of a window's place; the rest of a long is its hash.
-PLACE_BITS = 26
+# A window's place in the low bits of a long, above it a second hash.
+PLACE_BITS = 32
 
 # Statistic, decimals it is rounded to before thresholds are chosen.
 FEATURES = {"word_length": 1, "symbol_rate": 2, "dup_line_rate": 2, "repeat_rate": 2, "upper_rate": 2, "mark_rate": 2}
@@ -36,34 +36,37 @@ RECORD = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def repeat_words(words: Column) -> Column:
     """Words that stand in a three-word window found twice or more in the text.
 
-    Windows are sorted by hash and place, so equal ones are neighbours; neighbours with one
-    hash are compared word by word.
+    Windows are sorted by two hashes (96 bits) and place, so equal ones are neighbours;
+    neighbours are compared word by word.
     """
 
+    def windows(ws: Column) -> Column:
+        def window(i: Column) -> Column:
+            three = [F.get(ws, i + k) for k in range(3)]
+            return F.struct(F.xxhash64(*three).alias("h"), F.shiftleft(F.hash(*three).cast("long"), PLACE_BITS).bitwiseOR(i.cast("long")).alias("p"))
+
+        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(ws) - 3), window))
+
     def places(ws: Column) -> Column:
-        window = F.transform(
-            F.sequence(F.lit(0), F.size(ws) - 3),
-            lambda i: F.shiftleft(F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)), PLACE_BITS).bitwiseOR(i.cast("long")),
-        )
-        return let(F.sort_array(window), lambda s: F.filter(s, lambda x, k: same(ws, F.get(s, k - 1), x) | same(ws, x, F.get(s, k + 1))))
+        def twice(s: Column) -> Column:
+            return F.filter(s, lambda x, k: same(ws, F.get(s, k - 1), x) | same(ws, x, F.get(s, k + 1)))
+
+        return F.transform(let(windows(ws), twice), place)
 
     def same(ws: Column, a: Column, b: Column) -> Column:
-        i, j = place(a), place(b)
-        equal = F.get(ws, i) == F.get(ws, j)
-        for step in (1, 2):
-            equal = equal & (F.get(ws, i + step) == F.get(ws, j + step))
-        return F.coalesce((F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)) & equal, F.lit(False))
+        equal = a["h"] == b["h"]
+        for step in range(3):
+            equal = equal & (F.get(ws, place(a) + step) == F.get(ws, place(b) + step))
+        return F.coalesce(equal, F.lit(False))
 
-    def place(packed: Column) -> Column:
-        return packed.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    def place(window: Column) -> Column:
+        return window["p"].bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
 
     def covered(at: Column) -> Column:
         gaps = F.transform(at, lambda p, k: F.when(k == 0, 3).otherwise(F.least(F.lit(3), p - F.get(at, k - 1))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
 
-    return let(words, lambda ws: F.when(F.size(ws) < 4, F.lit(0).cast("long")).when(
-        F.size(ws) >= 1 << PLACE_BITS, F.raise_error(F.lit(f"a text of {1 << PLACE_BITS} words or more")).cast("long")
-    ).otherwise(let(F.sort_array(F.transform(places(ws), place)), covered)))
+    return let(words, lambda ws: F.when(F.size(ws) < 4, F.lit(0).cast("long")).otherwise(let(F.sort_array(places(ws)), covered)))
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +203,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     ``rule`` is the number of the learned rule that rejects the text, null if none does;
     ``kept`` is false if the base failed or a rule rejects. Null texts count as empty and
     fail the base; repeated rows are judged each; without labels only the base decides;
-    labels other than 0 and 1 are not used.
+    labels other than 0 and 1 are not used. A text of any length is one array of words, so
+    it has to fit into a task; an empty table gives an empty one; further columns, whatever
+    their names, are left behind.
     """
     # Thresholds, patterns and the verdict read the statistics, which are costly; numbers only are written.
     stats = materialise(statistics(docs, id_col, text_col), "statistics")

@@ -395,6 +395,13 @@ def test_quality_counts(docs, texts, odd):
                 assert tuple(r[c] for c in rule_lists.RECORD) == plain_counts(known[r["doc_id"]])
 
 
+def test_quality_counts_of_a_million_words(spark):
+    drawn = np.random.default_rng(5).integers(0, 100, 1_000_000)
+    text = " ".join(f"w{k}" for k in drawn)
+    row = rule_lists.statistics(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert tuple(row[c] for c in rule_lists.RECORD) == plain_counts(text)
+
+
 def test_quality_rules(spark, odd, none, sf):
     sf = sf.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
