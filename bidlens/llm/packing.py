@@ -4,10 +4,12 @@ The plan is made on the histogram of piece lengths (at most as many entries as a
 has tokens), so its cost does not follow the corpus:
 
 1. lengths above ``LARGE_SHARE`` of a sequence are sorted and dealt into groups of equal
-   cardinality; inside a group all lengths are rounded up to the largest one;
+   cardinality; inside a group all lengths are rounded up to the largest one. Where there
+   are no more lengths than groups, each is its own group and nothing is rounded;
 2. few sizes are left, and configurations are chosen one after the other: the largest
    size still open together with the fill that a bounded knapsack finds best for it;
-3. the actual lengths take the places of the rounded ones, which frees what was rounded up;
+3. the actual lengths take the places of the rounded ones, and what that frees is offered
+   to all lengths still open, the longest that fits first;
 4. small lengths go, longest first, where they leave least space (best fit).
 
 A plan is a list of runs: a pattern of lengths and how many sequences look like it. A
@@ -29,8 +31,8 @@ from bidlens.llm.encoding import encoder
 from bidlens.session import materialise
 
 SEQUENCE = 2048
-GROUPS = 64
-LARGE_SHARE = 1 / 8
+GROUPS = 256
+LARGE_SHARE = 1 / 3
 # Pieces of one length that are numbered by one task.
 RANKED_TOGETHER = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -70,7 +72,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = SEQUENCE, end_id: i
 
 
 def grouped_sizes(counts: dict[int, int], groups: int) -> list[list[tuple[int, int]]]:
-    """Lengths, longest first, in groups of equal cardinality: per group its runs (length, how many)."""
+    """Lengths, longest first, in groups of equal cardinality: per group its runs (length, how many).
+
+    As many groups as lengths leave nothing to round: each length is a group.
+    """
+    if len(counts) <= groups:
+        return [[(length, counts[length])] for length in sorted(counts, reverse=True)]
     total = sum(counts.values())
     room = -(-total // groups) if total else 0
     out: list[list[tuple[int, int]]] = []
@@ -141,7 +148,7 @@ def plan_runs(histogram: dict[int, int], capacity: int = SEQUENCE, groups: int =
             open_[j] -= times * k
             for _ in range(k):
                 slots.append(take_runs(stocks[j], times))
-        begun += meet(slots, times)
+        begun += fill_freed(meet(slots, times), stocks, open_, capacity)
     return done + best_fit(begun, {n: c for n, c in rest.items() if n <= edge}, capacity)
 
 
@@ -177,6 +184,30 @@ def meet(slots: list[list[tuple[int, int]]], times: int) -> list[tuple[int, tupl
     return out
 
 
+def fill_freed(
+    runs: list[tuple[int, tuple[int, ...]]], stocks: list[list[tuple[int, int]]], open_: list[int], capacity: int
+) -> list[tuple[int, tuple[int, ...]]]:
+    """Runs with the longest actual lengths still open that fit into their room; takes those from the stocks."""
+    waiting, out = runs[::-1], []
+    while waiting:
+        n, pattern = waiting.pop()
+        room = capacity - sum(pattern)
+        # Stocks and their runs go from the longest length to the shortest.
+        fits = next(((j, i) for j, stock in enumerate(stocks) if stock and stock[-1][0] <= room for i, (length, _) in enumerate(stock) if length <= room), None)
+        if fits is None:
+            out.append((n, pattern))
+            continue
+        j, i = fits
+        length, left = stocks[j][i]
+        took = min(n, left)
+        stocks[j][i:i + 1] = [(length, left - took)] if left > took else []
+        open_[j] -= took
+        if n > took:
+            waiting.append((n - took, pattern))
+        waiting.append((took, (*pattern, length)))
+    return out
+
+
 def best_fit(begun: list[tuple[int, tuple[int, ...]]], small: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """Small lengths, longest first, into the sequences that they leave fullest."""
     by_room: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
@@ -226,12 +257,12 @@ def places(runs: list[tuple[int, tuple[int, ...]]]) -> pd.DataFrame:
 def ranked(cut: DataFrame, n_pieces: int) -> DataFrame:
     """Pieces with their rank among those of their length; a common length is numbered in many tasks."""
     salts = max(8, -(-n_pieces // RANKED_TOGETHER))
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     # At most capacity x salts rows of three numbers.
     starts = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "_row")
     numbered = salted.withColumn("_k", F.row_number().over(within) - 1)
     return numbered.join(starts, ["length", "_salt"]).withColumn("rank", F.col("_start") + F.col("_k"))
 
@@ -243,10 +274,12 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = SEQUENCE, groups: int
     documents longer than ``capacity`` are cut, into full pieces after a first one that may
     be shorter. Pieces of a sequence stand one after the other from offset 0. Rows with a
     null id are packed as the others, repeated rows each for themselves; ties in length
-    are numbered by id and piece. An empty table gives an empty one; further columns are
-    ignored.
+    are numbered by id and piece. A very long text is one document of many pieces. An empty
+    table gives an empty one; further columns, whatever their names, are ignored.
     """
-    cut = materialise(pieces(documents(docs, id_col, text_col), vocabulary, capacity, with_ids=with_ids), "pieces")
+    # The number is written with the pieces, so rows without an id or with one id are told apart and stay so.
+    cut = pieces(documents(docs, id_col, text_col), vocabulary, capacity, with_ids=with_ids)
+    cut = materialise(cut.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     # One row for each length, at most ``capacity`` of them.
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     where = places(plan_runs(histogram, capacity, groups))

@@ -1,5 +1,6 @@
 """Operators that look at one text at a time: counts, spans, scores, licences, rules, leaks, packing."""
 
+import bisect
 import re
 import time
 import zlib
@@ -148,6 +149,36 @@ def first_fit(lengths, capacity):
     return free
 
 
+def best_fit_decreasing(lengths, capacity):
+    rooms, n = [], 0
+    for length in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(rooms, length)
+        n += k == len(rooms)
+        bisect.insort(rooms, (capacity if k == len(rooms) else rooms.pop(k)) - length)
+    return n
+
+
+@pytest.mark.parametrize("draw", [
+    lambda r: r.choice([600, 683, 684, 900, 1025], 20_000),
+    lambda r: r.integers(1, 2049, 20_000),
+    lambda r: r.integers(300, 1100, 20_000),
+    lambda r: r.integers(600, 760, 20_000),
+    lambda r: np.clip(r.lognormal(6, 1, 20_000).astype(int), 1, 2048),
+])
+def test_plan_is_close_to_best_fit_decreasing(draw):
+    lengths = draw(np.random.default_rng(1)).tolist()
+    runs = packing.plan_runs(dict(Counter(lengths)))
+    assert sum(n for n, _ in runs) <= 1.002 * best_fit_decreasing(lengths, 2048)
+
+
+def test_packing_of_many_rows_without_id(spark):
+    rows = [(None, "one text")] * 3000 + [(7, "another text here")] * 3000
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got) == 6000
+    ids = {k: Tokenizer.from_file(VOCABULARY).encode(t, add_special_tokens=False).ids + [0] for k, t in set(rows)}
+    check_packed(got, ids, 2048)
+
+
 def test_packing_of_odd_texts_with_ids(odd, none, tokenizer):
     rows = packing.pack(odd, VOCABULARY, capacity=64, with_ids=True).collect()
     ids_of = {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for k, t in enumerate(ODD)}
