@@ -227,13 +227,15 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every whole text, one row per input row.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans) of every whole text, one row per input row.
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then by kind in
     the order of ``KINDS``, joined by commas. The four counts and the hash are of the base
     spans; ``spans`` adds the candidates that the trained classifier takes for private.
     Null and empty texts have no spans (the hash is that of the empty string), repeated rows
-    are read each, and without candidates nothing is trained or added.
+    are read each, and without candidates nothing is trained or added. Very long texts are
+    read whole; an empty table gives an empty one; further columns, whatever their names, are
+    left behind.
     """
     found = found_spans(docs, id_col, text_col)
     spread = found.select(F.explode("judged").alias("c")).select("c.*")
@@ -265,5 +267,5 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.concat(base, added)).alias("spans"),
-        F.size(added).cast("long").alias("n_added"),
+        F.size(added).cast("long").alias("n_added"), F.size(F.concat(base, added)).cast("long").alias("n_spans"),
     )
