@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from bidlens.llm.common import documents, rows_of
+from bidlens.llm.common import documents, own_name, rows_of
 
 ERROR_RATE = 0.1
 # Characters of items whose pieces one pass looks for; more items make more passes.
@@ -147,25 +148,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_
     One row per input row and item, with its closest place (then the first) in code points,
     end exclusive; A-Z count as a-z. Items shorter than 1 / rate characters must occur
     unchanged; null or empty items and texts match nothing. Repeated rows give repeated
-    results. Items are searched in blocks of about ``ITEM_CHARS`` characters, so what is
-    sent to the executors is bounded; one block is one pass over the documents.
+    results. Items are searched in blocks of about ``ITEM_CHARS`` characters, each read and
+    broadcast for itself, so neither the driver nor a task holds more than one; one block is
+    one pass over the documents. Texts of any length are searched whole; no items or no texts
+    give no rows; further columns, whatever their names, are left behind.
     """
     texts = documents(docs, id_col, text_col)
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).filter(F.length("text") > 0)
     blocks = -(-(wanted.agg(F.sum(F.length("text"))).first()[0] or 0) // ITEM_CHARS)
     found = None
+    block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))
     for block in range(max(1, blocks)):
-        rows = [tuple(r) for r in wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(max(1, blocks))) == block).collect()]
-        one = texts.mapInArrow(_finder(rows, rate), SCHEMA)
+        # At most about ITEM_CHARS characters, or one longer item.
+        rows = [tuple(r) for r in wanted.filter(block_of == block).collect()]
+        one = texts.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(rows), rate), SCHEMA)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _finder(rows: list[tuple[int, str]], rate: float):
+def _finder(rows: Broadcast, rate: float):
     def find(batches):
-        if not rows:
+        if not rows.value:
             return
-        items, pieces = prepared_items(rows, rate)
+        items, pieces = prepared_items(rows.value, rate)
         for ids, texts in rows_of(batches):
             out = [(doc_id, *hit) for doc_id, text in zip(ids, texts) for hit in find_items(text, items, pieces)]
             if out:
@@ -176,6 +181,11 @@ def _finder(rows: list[tuple[int, str]], rate: float):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents in which no benchmark item occurs, all columns kept; rows with a null id stay."""
-    hit = matches(docs, benchmark, rate, id_col, text_col).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col(id_col) == F.col("_hit"), "left_anti")
+    """The documents in which no benchmark item occurs, all columns kept, whatever their names.
+
+    Rows with a null id stay; of rows that share an id all go if one holds an item. Null and
+    empty texts stay; an empty table gives an empty one, an empty benchmark takes nothing.
+    """
+    name = own_name("_hit", docs.columns)
+    hit = matches(docs, benchmark, rate, id_col, text_col).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, F.col(id_col) == F.col(name), "left_anti")

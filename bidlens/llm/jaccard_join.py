@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bidlens.llm.common import documents, mix, rows_of, text_words
+from bidlens.llm.common import documents, mix, own_name, rows_of, text_words
 from bidlens.operators.clusters import connected_components
 from bidlens.session import materialise
 
@@ -494,7 +494,12 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, id_col: str = "d
 
 
 def one_of_each(docs: DataFrame, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of one document of each component, the one with the smallest id; rows with a null id stay."""
+    """The rows of one document of each component, the one with the smallest id, all columns kept, whatever their names.
+
+    Rows with a null id and texts without words stay, as do all rows that share the id that
+    stays; an empty table gives an empty one.
+    """
     found = near_duplicates(docs, percent, id_col, text_col)
-    copies = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, F.col(id_col) == F.col("_copy"), "left_anti")
+    name = own_name("_copy", docs.columns)
+    copies = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(copies, F.col(id_col) == F.col(name), "left_anti")

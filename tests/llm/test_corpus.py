@@ -105,6 +105,9 @@ def test_jaccard_join_of_rows_without_id_and_repeated_rows(spark):
     left = jaccard_join.one_of_each(docs)
     assert sorted((r["doc_id"] for r in left.collect()), key=str) == [5, 5, None, None]
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
+    named = docs.selectExpr("*", "'x' AS _copy", "'y' AS _COPY_", "1 AS component_id")
+    left = jaccard_join.one_of_each(named)
+    assert left.columns == named.columns and left.count() == 4
 
 
 @settings(max_examples=100, deadline=None)
@@ -296,6 +299,14 @@ def test_pipeline(spark, sf):
     assert sorted(map(tuple, whole.select(*columns).collect())) == sorted(map(tuple, now.select(*columns).collect()))
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    line = "a line that is long enough to be compared with others"
+    docs = spark.createDataFrame([(1, line, 5, "p", 3), (2, line + "\nshort", 6, "q", 4)], "doc_id long, text string, _doc long, _LINES string, N_LINES int")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[2]["text"] == "short" and got[2]["_doc"] == 6 and got[2]["_LINES"] == "q" and got[2]["n_lines"] == 2 and got[2]["n_removed"] == 1
+    assert got[1]["text"] == line and len({c.lower() for c in got[1].asDict()}) == len(got[1])
+
+
 def test_line_stage_keeps_short_lines_of_a_document_with_a_repeated_one(spark):
     head = "The same long licence line stands in each of these documents."
     short = ["\n".join(f"{word} {k}" for k in range(300)) for word in ("item", "諸行無常", "été")]

@@ -242,6 +242,7 @@ def assert_base_spans(rows, texts):
         want = plain_spans(texts[r["doc_id"]] or "")
         assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [s for s in r["spans"].split(",") if s.split(":")[0] in pii.BASE] == want
+        assert r["n_spans"] == len(want) + r["n_added"] == len(list(filter(None, r["spans"].split(","))))
         assert [r[f"n_{k}"] for k, _ in _BASE] == [sum(s.startswith(k + ":") for s in want) for k, _ in _BASE]
 
 
@@ -518,3 +519,19 @@ def test_leaks_in_the_corpus(spark, docs, texts, sf, none):
     assert left.join(spark.createDataFrame([(k,) for k, _ in got], "doc_id long"), "doc_id", "left_semi").count() == 0
     assert decontaminate.matches(none, benchmark).count() == 0
     assert decontaminate.matches(docs, benchmark.filter(F.lit(False))).count() == 0
+
+
+def test_leaks_of_a_benchmark_in_blocks_with_odd_columns(spark, monkeypatch):
+    items = [(k % 7 or None, f"item number {k} asks for the {k * k}th part of a whole") for k in range(40)]
+    docs = spark.createDataFrame(
+        [(k, f"some text, then {t.upper()}, then more", k, "x") for k, (_, t) in enumerate(items[:20])] + [(90, None, 0, "x"), (91, "clean", 0, "x"), (None, items[0][1], 0, "x")],
+        "doc_id long, text string, _hit long, _HIT_ string",
+    )
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, decontaminate.matches(docs, benchmark).collect()))
+    monkeypatch.setattr(decontaminate, "ITEM_CHARS", 400)
+    assert sorted(map(str, decontaminate.matches(docs, benchmark).collect())) == whole
+    left = decontaminate.without_leaks(docs, benchmark)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] for r in left.collect()), key=str) == [90, 91, None]
+    assert decontaminate.without_leaks(docs, benchmark.limit(0)).count() == docs.count()
