@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -282,6 +283,69 @@ def test_distance_by_fronts(a, edits, limit):
     assert line_dedup.distance_by_fronts(a, b, limit) == min(plain_whole(a, b), limit + 1)
 
 
+def edited(rng, line, edits, letters):
+    out = list(line)
+    for _ in range(edits):
+        at = rng.randrange(len(out)) if out else 0
+        out[at:at + 1] = rng.choice(["", rng.choice(letters), "".join(out[at:at + 1]) + rng.choice(letters)])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("columns", [16, 37, 2048])
+def test_distance_in_runs_of_columns(monkeypatch, columns):
+    monkeypatch.setattr(line_dedup, "COLUMNS", columns)
+    rng = random.Random(columns)
+    for letters in ("ab", "abcdefgh é"):
+        for n in (1, 30, 200):
+            a = "".join(rng.choices(letters, k=n))
+            for b in ("", a, a[n // 2:], "".join(rng.choices(letters, k=n)), *(edited(rng, a, e, letters) for e in (1, 4, n // 20, n // 10))):
+                far = plain_whole(a, b)
+                for limit in (0, 1, 5, n // 20, n // 6, n):
+                    assert line_dedup.distance_within(a, b, limit) == min(far, limit + 1)
+                if a and b:
+                    one, other = line_dedup.Hashed([a, b]).triples().astype(int)
+                    assert abs(one - other).sum() <= 6 * far
+                    assert line_dedup.are_near(a, b) == (far <= line_dedup.edits_of(min(len(a), len(b))))
+
+
+def test_links_of_a_part_join_the_same_classes(monkeypatch):
+    """Enough links keep the classes of all links, also where pairs are looked at in many small blocks."""
+    rng = random.Random(29)
+    letters = "abcdefghij klmnopq"
+    lines = []
+    for _ in range(4):
+        line = "".join(rng.choices(letters, k=300))
+        for _ in range(30):
+            lines.append(line)
+            line = edited(rng, line, rng.choice([1, 5, 12, 15]), letters)[:310]
+    lines += ["".join(rng.choices(letters, k=150)) + lines[0][150:300] for _ in range(20)]
+    lines = sorted({x for x in lines if 290 <= len(x) <= 312})
+    rows = pa.table({"key": pa.array(range(len(lines))), "value": pa.array(lines)})
+
+    def classes(pairs):
+        root = list(range(len(lines)))
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = [new if r == old else r for r in root]
+        return {frozenset(i for i, r in enumerate(root) if r == one) for one in set(root)}
+
+    def links(every):
+        found = set()
+        for cls in range(60):
+            found |= set(zip(*line_dedup.near_in_part(rows, cls, 0, 1, every).to_pydict().values()))
+        return found
+
+    whole = links(True)
+    want = {(i, j) for i in range(len(lines)) for j in range(i) if plain_near(lines[i], lines[j], int(line_dedup.edits_of(min(len(lines[i]), len(lines[j])))))}
+    assert {tuple(sorted(p)) for p in whole} == {tuple(sorted(p)) for p in want} and want
+    for block in (line_dedup.PAIR_BLOCK, 50):
+        monkeypatch.setattr(line_dedup, "PAIR_BLOCK", block)
+        monkeypatch.setattr(line_dedup, "ANCHOR_BLOCK", min(block, line_dedup.ANCHOR_BLOCK))
+        some = links(False)
+        assert some <= whole and classes(some) == classes(whole)
+    assert len(some) < len(whole)
+
+
 # Pipeline
 
 
