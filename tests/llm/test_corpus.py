@@ -283,7 +283,7 @@ def test_distance_by_fronts(a, edits, limit):
     assert line_dedup.distance_by_fronts(a, b, limit) == min(plain_whole(a, b), limit + 1)
 
 
-def edited(rng, line, edits, letters):
+def changed_line(rng, line, edits, letters):
     out = list(line)
     for _ in range(edits):
         at = rng.randrange(len(out)) if out else 0
@@ -298,7 +298,7 @@ def test_distance_in_runs_of_columns(monkeypatch, columns):
     for letters in ("ab", "abcdefgh é"):
         for n in (1, 30, 200):
             a = "".join(rng.choices(letters, k=n))
-            for b in ("", a, a[n // 2:], "".join(rng.choices(letters, k=n)), *(edited(rng, a, e, letters) for e in (1, 4, n // 20, n // 10))):
+            for b in ("", a, a[n // 2:], "".join(rng.choices(letters, k=n)), *(changed_line(rng, a, e, letters) for e in (1, 4, n // 20, n // 10))):
                 far = plain_whole(a, b)
                 for limit in (0, 1, 5, n // 20, n // 6, n):
                     assert line_dedup.distance_within(a, b, limit) == min(far, limit + 1)
@@ -317,7 +317,7 @@ def test_links_of_a_part_join_the_same_classes(monkeypatch):
         line = "".join(rng.choices(letters, k=300))
         for _ in range(30):
             lines.append(line)
-            line = edited(rng, line, rng.choice([1, 5, 12, 15]), letters)[:310]
+            line = changed_line(rng, line, rng.choice([1, 5, 12, 15]), letters)[:310]
     lines += ["".join(rng.choices(letters, k=150)) + lines[0][150:300] for _ in range(20)]
     lines = sorted({x for x in lines if 290 <= len(x) <= 312})
     rows = pa.table({"key": pa.array(range(len(lines))), "value": pa.array(lines)})
