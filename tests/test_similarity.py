@@ -139,3 +139,16 @@ def test_neighbours_state_prices_in_both_conventions_and_in_later_fields(spark):
     target = prepared(spark.createDataFrame([("t", "red ring", "", "")], names))
     found = search.priced_neighbours(prepared(spark.createDataFrame(rows, names)), target, 4)
     assert {r.tender_id: r.price for r in found.collect()} == {"a": 1250000.0, "b": 1250.5, "c": 1000.5, "d": None}
+
+
+def test_prepared_makes_each_text_once(spark):
+    """Price and date texts are cleaned in a step of their own, not again for every rule that reads them."""
+    plan = prepared(spark.createDataFrame([("1", "12,50", "15.03.2024")], "tender_id string, price_text string, published_text string"))
+    shown = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count(r"[^\d.,]") == 1
+    assert plan.select("price", "offer_price", F.date_format("published", "yyyy-MM-dd").alias("day")).first() == (12.5, 12.5, "2024-03-15")
+
+
+def test_prepared_keeps_columns_named_like_steps(spark):
+    df = spark.createDataFrame([("1", "7", "a", "b")], "tender_id string, price_text string, _number string, _day string")
+    assert prepared(df).select("price", "_number", "_day").first() == (7.0, "a", "b")
