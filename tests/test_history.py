@@ -114,3 +114,27 @@ def test_composite_vectors_leave_out_empty_fields(spark):
     df = spark.createDataFrame([(1, "red", ""), (2, "red", "ring ring"), (3, "", "")], "id long, title string, customer string")
     got = {r["id"]: r["vec"] for r in composite_vectors(df, "id", {"title": 0.6, "customer": 0.2}, lambda: WordTable({"red": [3.0, 0.0], "ring": [0.0, 1.0]})).collect()}
     assert got[1] == [1.0, 0.0] and got[2] == pytest.approx([0.75, 0.25]) and got[3] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("weights", [{"price": 0.5, "date": 0.3, "method": 0.2}, {"date": 0.6, "price": 0.4}])
+def test_layout_follows_the_weights(tenders, monkeypatch, weights):
+    """Price and date leave out blocks too where a history is laid out for them; the result stays."""
+    monkeypatch.setattr(history, "BLOCK_BITS", 4)
+    asked, shares, found = tenders.filter("o_orderkey % 97 = 0"), [], []
+    how = Similarity(numeric="inverse", temporal="linear", scale_days=400.0)
+    for laid in (None, weights):
+        opened = []
+        got = HistoryIndex.build(tenders, weights=laid).topk(asked, 3, weights, similarity=how, opened=opened)
+        found.append(hits(got))
+        shares.append(opened[0].agg(F.sum("n")).first()[0] / (asked.count() * tenders.count()))
+    assert found[0] == found[1] == hits(composite_topk(tenders, asked, 3, weights, similarity=how))
+    assert shares[1] < 0.5 * shares[0]
+
+
+def test_layout_without_known_dates(spark, tenders, monkeypatch):
+    """Missing dates and prices of one value are laid out like any others."""
+    monkeypatch.setattr(history, "BLOCK_BITS", 4)
+    rows = tenders.withColumn("published", F.when(F.col("o_orderkey") % 5 == 0, F.col("published"))).withColumn("price", F.lit(9.0)).cache()
+    weights, asked = {"date": 0.7, "price": 0.3}, rows.filter("o_orderkey % 97 = 0")
+    got = HistoryIndex.build(rows, weights=weights).topk(asked, 3, weights)
+    assert hits(got) == hits(composite_topk(rows, asked, 3, weights))

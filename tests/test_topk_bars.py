@@ -54,3 +54,14 @@ def test_many_targets_leave_out_blocks(tenders, monkeypatch):
     got = hits(composite_topk(tenders, asked, 4, similarity=vectors))
     monkeypatch.undo()
     assert got == hits(composite_topk(tenders, asked, 4, similarity=vectors))
+
+
+def test_remembered_words_stay_small_and_home(monkeypatch):
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(composite, "REMEMBERED_TEXTS", 10)
+    for i in range(100):
+        assert dict(composite.unit_words(f"a a {i}")) == pytest.approx({"a": 2 / 5 ** 0.5, str(i): 1 / 5 ** 0.5})
+    composite.unit_words("long " * 100)
+    assert len(composite._remembered) <= 10 and "long " * 100 not in composite._remembered
+    assert not cloudpickle.loads(cloudpickle.dumps(composite._remembered))
