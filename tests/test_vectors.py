@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -285,3 +287,17 @@ def test_tender_vectors(spark):
     assert len(got["1"]) == len(got["2"]) == 4 + 2 + 1 + 8
     assert sum(got["1"][:4]) == 2.0 and sum(got["2"][:4]) == 0.0 and got["1"][6] == -1.0 and got["2"][6] == 1.0
     assert got["1"][8] == 0.0
+
+
+def test_word_counts_have_tasks_by_text(spark, monkeypatch):
+    """More text is more tasks, not larger ones; the counts are the same in any number of them."""
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b b c"), F.repeat(F.lit(" d"), F.col("id").cast("int"))).alias("text"))
+    want = {tuple(r) for r in features.encode_words(docs, "doc_id", F.col("text")).collect()}
+    want_distinct = {tuple(r) for r in features.encode_distinct(docs, "doc_id", "text").collect()}
+    monkeypatch.setattr(features, "TASK_TEXT", 50)
+    assert features.text_parts(docs) == math.ceil(docs.agg(F.sum(F.length("text"))).first()[0] / 50) > 30
+    counted = features.encode_words(docs, "doc_id", F.col("text"))
+    assert counted.select(F.spark_partition_id()).distinct().count() > 15
+    assert {tuple(r) for r in counted.collect()} == want
+    assert {tuple(r) for r in features.encode_distinct(docs, "doc_id", "text").collect()} == want_distinct
+    assert features.text_parts(docs.limit(0)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
