@@ -1,6 +1,7 @@
 """What a task holds, sends or compiles where tables grow."""
 
 from bidlens.operators import catalog
+from registry.queries import QUERIES
 
 
 def test_criteria_are_dealt_by_their_number(spark, monkeypatch):
@@ -9,3 +10,15 @@ def test_criteria_are_dealt_by_their_number(spark, monkeypatch):
     got = catalog.targets_from_criteria(spark.createDataFrame(rows, "query int, ord int, key string, value string"))
     assert got.rdd.getNumPartitions() == 30
     assert {r["query"]: r["region"] for r in got.collect()} == {i: f"s{i}" if i % 2 == 0 else f"r{i}" for i in range(200)}
+
+
+def test_fused_vectors_do_not_move(spark, sf):
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    plan = QUERIES["fuse_features"](spark, sf)._jdf.queryExecution().optimizedPlan()
+    joins = [n for n in nodes(plan) if n.nodeName() == "Join"]
+    kinds = [n.output().apply(i).dataType().simpleString() for n in joins for i in range(n.output().size())]
+    assert joins and "array<double>" not in kinds
