@@ -1,6 +1,9 @@
 """What a task holds, sends or compiles where tables grow."""
 
+import re
+
 from bidlens.operators import catalog
+from bidlens.plans.tenders import prepared
 from registry.queries import QUERIES
 
 
@@ -22,3 +25,18 @@ def test_fused_vectors_do_not_move(spark, sf):
     joins = [n for n in nodes(plan) if n.nodeName() == "Join"]
     kinds = [n.output().apply(i).dataType().simpleString() for n in joins for i in range(n.output().size())]
     assert joins and "array<double>" not in kinds
+
+
+def test_prepared_is_compiled(spark, tmp_path, capsys):
+    """The JVM does not compile methods of more than 8000 bytes."""
+    row = ("IKZ1", "5-LOW", "48 246,70", "09.08.1996 10:30", "O", "RUB", "Small\u00a0Gizmo!", "STANDARD Brand#19", "Brand#19", "27.10.2001 00:00", "Customer#7", "BUILDING", "N", "A")
+    odd = ("IKZ2", None, "от 1.234,5 руб", "09.08.1996г  7:05", None, None, None, "", None, None, None, None, None, None)
+    names = "tender_id method price_text published_text status currency title description platform closes_text customer funding region district"
+    spark.createDataFrame([row, odd], ", ".join(f"{n} string" for n in names.split())).write.parquet(str(tmp_path / "t"))
+    got = prepared(spark.read.parquet(str(tmp_path / "t")))
+    got.explain("codegen")
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)) <= 8000
+    first, second = got.selectExpr("*", "cast(published as string) as day").orderBy("tender_id").collect()
+    assert (first["title"], first["description"], first["customer"]) == ("small gizmo", "standard brand 19", "customer 7")
+    assert (first["price"], first["offer_price"], first["day"]) == (48246.7, 48246.7, "1996-08-09 10:30:00")
+    assert (second["title"], second["offer_price"], second["day"]) == ("", 1234.5, "1996-08-09 07:05:00")
