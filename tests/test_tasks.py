@@ -2,7 +2,10 @@
 
 import re
 
+import numpy as np
+
 from bidlens.operators import catalog
+from bidlens.operators.vectors import _block_rows, knn
 from bidlens.plans.tenders import prepared
 from registry.queries import QUERIES
 
@@ -40,3 +43,14 @@ def test_prepared_is_compiled(spark, tmp_path, capsys):
     assert (first["title"], first["description"], first["customer"]) == ("small gizmo", "standard brand 19", "customer 7")
     assert (first["price"], first["offer_price"], first["day"]) == (48246.7, 48246.7, "1996-08-09 10:30:00")
     assert (second["title"], second["offer_price"], second["day"]) == ("", 1234.5, "1996-08-09 07:05:00")
+
+
+def test_neighbour_blocks_follow_bytes(spark):
+    assert _block_rows(10_000_000, 16, 8) == 1 << 17 and _block_rows(10_000_000, 1 << 14, 8) == 1 << 14
+    assert _block_rows(1000, 16, 8) == 256
+    x = np.random.default_rng(3).normal(size=(700, 4))
+    rows = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, vec array<double>")
+    far = np.linalg.norm(x[:, None] - x[None], axis=2) + np.diag(np.full(700, np.inf))
+    for cells in (None, 5):
+        got = {(r["id"], r["rank"]): r["neighbour"] for r in knn(rows, 2, cells=cells).collect()}
+        assert all(got[i, 1] == far[i].argmin() for i in range(700)) and len(got) == 1400
