@@ -228,6 +228,26 @@ def test_lines_that_meet_are_all_near_lines(spark):
     assert found == want and want
 
 
+def test_many_pairs_of_lines_are_told_as_each_by_itself():
+    rng = random.Random(5)
+    left, right = [], []
+    for _ in range(300):
+        size = rng.choice([70, 75, 640, 660, 1500])
+        x = "".join(rng.choice("abc Ж\U0001F600") for _ in range(size))
+        y = list(x)
+        for _ in range(rng.randrange(size // 10)):
+            at = rng.randrange(len(y))
+            y[at:at + rng.randrange(2)] = rng.choice(["", "q", "Ж "])
+        left.append(x)
+        right.append("".join(y))
+        if rng.random() < 0.5:
+            left[-1], right[-1] = right[-1], left[-1]
+    found = line_dedup.all_near(left, right)
+    assert found.tolist() == [line_dedup.are_near(x, y) for x, y in zip(left, right)]
+    assert 30 < found.sum() < 270
+    assert line_dedup.all_near([], []).tolist() == []
+
+
 def test_long_lines_with_an_exchanged_word_are_near(spark, monkeypatch):
     """One edit for each 20 characters, counted here: pairs at the budget, beyond it, and edits at equal distances."""
     rng = random.Random(23)
